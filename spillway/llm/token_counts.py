@@ -55,6 +55,14 @@ def splitter():
     return _state["split"]
 
 
+def tiers(names: str, lengths: bytes, key: str) -> tuple[dict[str, int], dict[str, int]]:
+    """The first tier as a hash table and the cache of this process, both kept from task to task."""
+    if _state.get("tier") != key:
+        _state["first"], _state["cache"] = dict(zip(names.split("\0"), lengths)) if lengths else {}, {}
+        _state["tier"] = key
+    return _state["first"], _state["cache"]
+
+
 def frequent(docs: DataFrame, path: str = VOCABULARY, share: float = SHARE) -> tuple[str, bytes]:
     """The first tier: frequent pre-tokens, joined by NUL, and their lengths."""
 
@@ -87,11 +95,8 @@ def counts(docs: DataFrame, path: str = VOCABULARY, share: float = SHARE) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, encode = splitter(), encoding(path).encode_ordinary
-        names, lengths, key = shared.value
-        if _state.get("tier") != key:
-            _state["first"], _state["cache"] = dict(zip(names.split("\0"), lengths)) if lengths else {}, {}
-            _state["tier"] = key
-        first, cache = _state["first"].get, _state["cache"]
+        known, cache = tiers(*shared.value)
+        first = known.get
         for batch in batches:
             for part in chunks(batch):
                 out: list[int | None] = []
