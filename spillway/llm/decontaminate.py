@@ -144,31 +144,34 @@ class Index:
 def align(item: bytes, text: np.ndarray, k: int, width: int) -> tuple[int, int] | None:
     """(edits, start) of the item's best place in the text if it takes k edits at most.
 
-    Columns are diagonals 0 .. width of the text: column d of row j stands for text
-    place j + d. All starts cost nothing; the least cost of the last row counts.
+    Columns are diagonals -k .. width of the text: after j bytes of the item, diagonal d stands
+    at place j + d of the text. All starts cost nothing; the least cost of the last row counts.
     """
     whole = text.tobytes()
     if (p := whole.find(item)) >= 0:
         return 0, p
     pattern = np.frombuffer(item, np.uint8)
-    width = min(width, len(text))
-    padded = np.concatenate([text, np.zeros(width + len(item) + 2, np.uint8)])
-    steps = np.arange(width + 1)
-    cost, start = np.zeros(width + 1, np.int64), steps.copy()
+    n, width = len(text), min(width, len(text))
+    size = width + k + 1
+    padded = np.concatenate([np.zeros(k, np.uint8), text, np.zeros(size + len(item), np.uint8)])
+    steps = np.arange(size)
     beyond = np.int64(1 << 40)
+    cost, start = np.where(steps >= k, 0, beyond), steps - k
     for j, c in enumerate(pattern):
-        same = cost + (padded[j : j + width + 1] != c)
-        # place j + d must lie in the text; a deletion comes from the next diagonal of the row above
-        same[len(text) - j if len(text) > j else 0 :] += beyond
+        same = cost + (padded[j : j + size] != c)
+        # the byte that is taken must lie in the text; its place is j + column - k
+        same[: max(k - j, 0)] += beyond
+        same[max(n - j + k, 0) :] += beyond
         skip, skip_start = np.append(cost[1:] + 1, beyond), np.append(start[1:], 0)
         take = skip < same
         cost, start = np.where(take, skip, same), np.where(take, skip_start, start)
-        # insertions: from a smaller diagonal of the same row, one edit a step
+        # insertions: from a smaller diagonal of the same row, one edit a step, within the text
         level = cost - steps
         least = np.minimum.accumulate(level)
         source = np.maximum.accumulate(np.where(level == least, steps, 0))
         start = start[source]
         cost = least + steps
+        cost[max(n - j + k, 0) :] = beyond
         if cost.min() > k:
             return None
     at = int(np.argmin(cost))
