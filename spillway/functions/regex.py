@@ -29,7 +29,10 @@ def _walk(pattern: str, to_java: bool) -> tuple[str, list[str | None]]:
                 i = end + 2
                 continue
             piece = {"b": _BOUND, "B": _UNBOUND, "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "z": r"\z" if to_java else r"\Z", "a": r"\x07", "v": r"\x0B"}.get(d)
-            if depth_class:
+            if not to_java and d in "wWdD":  # ASCII, while letters still fold and \\p works
+                span = "0-9A-Za-z_" if d in "wW" else "0-9"
+                piece = span if depth_class and d in "wd" else None if depth_class else f"[{'^' if d in 'WD' else ''}{span}]"
+            elif depth_class:
                 piece = {"s": r"\t\n\f\r ", "a": r"\x07", "v": r"\x0B"}.get(d)
             if piece is None and d in "pP" and i + 2 < len(pattern) and pattern[i + 2] != "{":
                 piece, i = f"\\{d}{{{pattern[i + 2]}}}", i + 1
@@ -101,4 +104,4 @@ def python(pattern: str):
     # flags in mid-pattern apply to the rest of their group in RE2; here they must begin it
     if m := re.match(r"(.+?)\(\?([ims]+)\)(.*)\Z", text, re.S):
         text = f"{m[1]}(?{m[2]}:{m[3]})"
-    return regex.compile(text, regex.ASCII | regex.V0)
+    return regex.compile(text, regex.V0)

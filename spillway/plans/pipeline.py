@@ -128,14 +128,17 @@ class Pipeline:
         sinks.write(self.transform(self.source(spark)), self.output)
 
     def stream(self, spark: SparkSession, checkpoint: str, trigger: dict | None = None):
-        """The pipeline as a streaming query; ordered and limiting operators use keyed state."""
-        from ..streaming import apply_streaming
+        """The pipeline as a streaming query; ordered and limiting operators use keyed state.
+
+        Their timers are in processing time, so a query with any of them runs until it is stopped."""
+        from ..streaming import STATEFUL, apply_streaming
 
         df = self.source(spark, streaming=True)
         for spec in self.actions:
             df = apply_streaming(df, spec)
         writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sinks.batch_writer(self.output))
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        timed = any(a.get("type") in STATEFUL for a in self.actions)
+        return writer.trigger(**(trigger or ({"processingTime": "1 second"} if timed else {"availableNow": True}))).start()
 
 
 def play(spark: SparkSession, actions: list[dict], events: list[dict | str], schema: str | None = None) -> list[dict]:

@@ -29,10 +29,28 @@ def read(spark: SparkSession, spec: dict, streaming: bool = False) -> DataFrame:
 
 
 def enveloped(df: DataFrame, name, stream=None) -> DataFrame:
+    if df.isStreaming and "_seq" not in df.columns:
+        df = numbered(df)
     seq = [] if "_seq" in df.columns else [F.monotonically_increasing_id().alias("_seq")]
     return df.select("*", F.xxhash64(name).alias("_source_id"), name.alias("_source_name"), (stream if stream is not None else F.lit("not_set")).alias("_stream"), *seq)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows of a micro-batch with _seq, ascending in each split."""
+    schema = df.select("*", F.lit(0).cast("bigint").alias("_seq")).schema
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 33
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(n, n + b.num_rows), pa.int64())], [*b.schema.names, "_seq"])
+            n += b.num_rows
+
+    return df.mapInArrow(run, schema)
+
+
 @source("file")
 def file(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
     """Lines of the files of ``paths`` (globs; compressed files by their endings), without those of ``exclude``.

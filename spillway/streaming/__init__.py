@@ -22,6 +22,7 @@ from ..operators.ordered import TEMPLATES
 from ..operators.predicates import seconds
 
 STATE = "value string"
+STATEFUL = ("join", "join_template", "throttle", "cardinality", "antispam")
 
 
 class Joiner:
@@ -123,7 +124,7 @@ class JoinProcessor(_Keyed):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         j, out = self.machine(self.load()), []
         for pdf in rows:
-            for t, r, m in pdf.sort_values("_seq")[["txt", "row", "m"]].itertuples(index=False):
+            for t, r, m in pdf.sort_values("seq")[["txt", "row", "m"]].itertuples(index=False):
                 out += j.push(t, r, bool(m))
         self.save({"held": j.held, "text": j.text})
         for timer in list(self.handle.listTimers()):
@@ -146,7 +147,7 @@ class FilterProcessor(_Keyed):
         s, kept, out = self.spec, self.load(), []
         now = timerValues.getCurrentProcessingTimeInMs() / 1000
         for pdf in rows:
-            for r in pdf.sort_values("_seq").itertuples(index=False):
+            for r in pdf.sort_values("seq").itertuples(index=False):
                 if s["kind"] == "throttle":
                     m = Limiter(int(r.lim), s["buckets"])
                     m.sums = {int(k): v for k, v in kept.items()}
@@ -182,7 +183,7 @@ def _keys(df: DataFrame) -> list[str]:
 
 def _filtered(df: DataFrame, spec: dict, key, lim, a, b, txt, on) -> DataFrame:
     """Rows where ``on`` holds go through the machine; the others pass."""
-    rows = df.select(key.alias("k"), "_seq", _packed(df).alias("row"), lim.cast("bigint").alias("lim"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), txt.cast("string").alias("txt"), F.coalesce(on, F.lit(False)).alias("on"))
+    rows = df.select(key.alias("k"), F.col("_seq").alias("seq"), _packed(df).alias("row"), lim.cast("bigint").alias("lim"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), txt.cast("string").alias("txt"), F.coalesce(on, F.lit(False)).alias("on"))
     out = rows.where("on").groupBy("k").transformWithStateInPandas(FilterProcessor({**spec, "keys": ["k"]}), "k string, row string", "append", "ProcessingTime")
     return _unpacked(out.select("row").unionByName(rows.where("not on").select("row")), df)
 
@@ -192,7 +193,7 @@ def apply_streaming(df: DataFrame, spec: dict) -> DataFrame:
     from ..plans.pipeline import apply, condition
 
     kind = spec["type"]
-    if not df.isStreaming or kind not in ("join", "join_template", "throttle", "cardinality", "antispam"):
+    if not df.isStreaming or kind not in STATEFUL:
         return apply(df, spec)
     doc, when = Document(df), condition(df, spec)
     when = F.lit(True) if when is None else when
@@ -204,7 +205,7 @@ def apply_streaming(df: DataFrame, spec: dict) -> DataFrame:
         field = spec.get("field", "log")
         keys = _keys(df) or ["__one"]
         base = df if _keys(df) else df.withColumn("__one", F.lit("1"))
-        rows = base.select(*[F.col(k).cast("string").alias(k) for k in keys], "_seq", _packed(df).alias("row"), doc.get(field).cast("string").alias("txt"), when.alias("m"))
+        rows = base.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("_seq").alias("seq"), _packed(df).alias("row"), doc.get(field).cast("string").alias("txt"), when.alias("m"))
         own = {"start": start, "continue": go_on, "negate": negate, "max_event_size": int(spec.get("max_event_size", 0)), "timeout": seconds(spec.get("event_timeout", "30s")), "keys": keys}
         out = rows.groupBy(*keys).transformWithStateInPandas(JoinProcessor(own), ", ".join(f"{k} string" for k in keys) + ", row string, txt string", "append", "ProcessingTime")
         back = Document(out.select(F.from_json("row", df.schema).alias("d"), F.col("txt").alias("__txt")).select("d.*", "__txt"))
