@@ -116,18 +116,24 @@ def distribute(values: list[str], weights: list[int], limit: int, spec: dict | N
 
 
 def _distributed(rows: DataFrame, dists: list[dict | None], kept: list[str]) -> DataFrame:
-    """Only the decision's columns go to Python, a key's bucket at a time; decisions join back on _seq within the key."""
+    """Only the decision's columns go to Python; decisions join back on _seq within the key."""
     narrow = rows.select("__rule", "__key", "__bucket", "_seq", "__value", "__w", "__limit", "__when")
 
+    keys = ["__rule", "__key", "__bucket"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq", kind="stable")
-        part = pdf[pdf["__when"]]
-        ok = distribute(part["__value"].tolist(), [int(x) for x in part["__w"]], int(pdf["__limit"].iloc[0]), dists[int(pdf["__rule"].iloc[0])])
-        return part.loc[[not x for x in ok], ["__rule", "__key", "__bucket", "_seq"]]
+        out = []
+        for (rule, _, _), part in pdf[pdf["__when"]].sort_values("_seq", kind="stable").groupby(keys, sort=False):
+            ok = distribute(part["__value"].tolist(), [int(x) for x in part["__w"]], int(part["__limit"].iloc[0]), dists[int(rule)])
+            if not all(ok):
+                out.append(part.loc[[not x for x in ok], [*keys, "_seq"]])
+        return pd.concat(out) if out else pdf.loc[:, [*keys, "_seq"]].head(0)
 
-    keys = ["__rule", "__key", "__bucket"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    dropped = narrow.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "_seq"]))
+    # a group is a hash partition of buckets, so small buckets don't cost a call each
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = narrow.groupBy(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("__p"))
+    dropped = grouped.applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "_seq"]))
     return rows.join(dropped, [*keys, "_seq"], "left_anti").select(*[f"`{c}`" for c in kept])
 
 
