@@ -41,6 +41,7 @@ N = 3
 THRESHOLD = 0.5
 BANDS, ROWS = 64, 5
 SLOTS = BANDS * ROWS
+FEW = 4_000_000  # ids that are broadcast (64 MB)
 QUERIES = 512  # sets that query the trie at once
 _POSITION = 9  # bits of a slot's number
 EMPTY = np.uint64((1 << 64) - 1)
@@ -212,6 +213,11 @@ def similar(members: list[np.ndarray], threshold: float) -> list[tuple[int, int,
     return out
 
 
+def few(table: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast while it has FEW rows at most; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def leaves(ids: np.ndarray, column: pa.Array, n: int) -> tuple[list[list[int]], list[np.ndarray]]:
     """Different sets of the texts, each with its documents' ids, least id first."""
     h, rows = sets(column, n)
@@ -229,7 +235,7 @@ def grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the similar pairs; the work of a component is one call."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     root = components(edges(some, n))
-    together = some.join(root.withColumnRenamed("id", "doc_id"), "doc_id")
+    together = some.join(few(written(root.withColumnRenamed("id", "doc_id"), "roots")), "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("doc_id"), dtype=np.int64)
@@ -256,7 +262,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFram
 def keep(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document, that of least doc_id, of each group of similar ones; all columns."""
     found = written(pairs(docs, n, threshold).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), "pairs")
-    drop = components(found, "groups").where("id <> root").select(F.col("id").alias("__id"))
+    drop = few(written(components(found, "groups").where("id <> root").select(F.col("id").alias("__id")), "drop"))
     rows = docs.join(drop, docs["doc_id"].cast("long") == drop["__id"], "left_anti")
     again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
     again = written(again, "again")
