@@ -3,9 +3,9 @@
 A document is the set of its hashed word N-grams. The join finds the pairs of documents whose
 sets have a Jaccard similarity of THRESHOLD or more.
 
-Sets that may be similar are brought together first: one-permutation MinHash with
-BANDS bands of ROWS values (a pair of similarity 0.5 shares a band with
-probability 0.87, one of 0.6 with 0.99, and copies of a group find each other through others),
+Sets that may be similar are brought together first: MinHash (of one permutation; of
+many for small sets) with BANDS bands of ROWS values (a pair of similarity 0.5 shares a band with
+probability 0.95, one of 0.6 with 0.999, and copies of a group find each other through others),
 an edge from each band's members to its least, and connected components of
 the edges by alternating large-star and small-star steps. Then each component's
 sets are stored in a trie: a set's n-grams are put in one global order (most
@@ -39,12 +39,15 @@ from .common import chunks, grams, mix, read, words, written
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 64, 5
+BANDS, ROWS = 96, 5
 SLOTS = BANDS * ROWS
 FEW = 4_000_000  # ids that are broadcast (64 MB)
 QUERIES = 512  # sets that query the trie at once
 _POSITION = 9  # bits of a slot's number
+SMALL = 256  # n-grams up to which a set has a hash function for each slot
 EMPTY = np.uint64((1 << 64) - 1)
+_ADD, _TIMES = np.random.default_rng(7).integers(0, 1 << 32, (2, SLOTS), dtype=np.uint32)
+_TIMES |= np.uint32(1)
 
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +77,44 @@ def signatures(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     filled = np.flatnonzero((least != EMPTY).any(1))
     least = least[filled]
     # an empty slot takes the next filled one's value, marked with the distance
-    step = 1
+    place = np.arange(SLOTS)
     with np.errstate(over="ignore"):
-        while (gap := least == EMPTY).any() and step < 2 * SLOTS:
-            moved = np.roll(least, -step, 1)
-            take = gap & (moved != EMPTY)
-            least[take] = mix(moved[take] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-            step *= 2
+        gap = least == EMPTY
+        there = np.where(gap, 4 * SLOTS, place)
+        there = np.concatenate([there, there + SLOTS], 1)
+        there = np.minimum.accumulate(there[:, ::-1], 1)[:, ::-1][:, :SLOTS]
+        moved = np.take_along_axis(least, there % SLOTS, 1)
+        least = np.where(gap, mix(moved + (there - place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24), least)
+        size = np.bincount(rows, minlength=count)[filled]
+        small = np.flatnonzero(size <= SMALL)
+        if len(small):
+            least[small] = several(h, rows, filled[small])
         key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(least), 1))
         for r in range(ROWS):
             key = mix(key * np.uint64(0xD6E8FEB86659FD93) + least[:, r * BANDS : (r + 1) * BANDS])
     return filled, key
 
 
+def several(h: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """MinHash with a hash function for each slot: for small sets, whose slots would mostly be empty."""
+    out = np.empty((len(chosen), SLOTS), np.uint64)
+    begin, end = np.searchsorted(rows, chosen), np.searchsorted(rows, chosen, "right")
+    done = 0
+    while done < len(chosen):
+        upto = max(done + 1, int(np.searchsorted(np.cumsum((end - begin)[done:]), 8192, "right")) + done)
+        x = np.concatenate([h[a:b] for a, b in zip(begin[done:upto], end[done:upto])]).astype(np.uint32)
+        first = np.append(0, np.cumsum((end - begin)[done:upto])[:-1])
+        for lo in range(0, SLOTS, 96):
+            y = x[:, None] ^ _ADD[lo : lo + 96]
+            y *= _TIMES[lo : lo + 96]
+            y ^= y >> np.uint32(15)
+            y *= np.uint32(0x2C1B3C6D)
+            y ^= y >> np.uint32(13)
+            out[done:upto, lo : lo + 96] = np.minimum.reduceat(y, first, 0)
+        done = upto
+    return out
+
+
 def edges(docs: DataFrame, n: int) -> DataFrame:
     """(a, b), a < b: documents that share a band with its least member."""
 
