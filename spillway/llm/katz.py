@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, pair, parts, read, shared_path, words, written
 
 K = 5
-UNIT = 2_000_000  # tokens that are sent together
+UNIT = 1_500_000  # tokens that are sent together
 HOT = 512  # occurrences in a unit from which a key is hot
 START = np.uint64(0x5851F42D4C957F2D)
 _CONTEXT = np.uint64(0x2545F4914F6CDD1D)
@@ -71,21 +71,45 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, word, rows
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *[x.nbytes for x in arrays]], np.int64)
-    return b"".join([head.tobytes(), *[x.tobytes() for x in arrays]])
+_KINDS = [np.dtype(x) for x in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float64)]
 
 
-def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays in one byte string; counts and row numbers (not keys) take as few bytes as they can."""
+    out, head = [], [len(arrays)]
+    for x in arrays:
+        if x.dtype == np.uint32:
+            most = int(x.max()) if len(x) else 0
+            x = x.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32)
+        head += [_KINDS.index(x.dtype), x.nbytes]
+        out.append(x.tobytes())
+    return b"".join([np.array(head, np.int64).tobytes(), *out])
+
+
+def _arrays(blob) -> list[np.ndarray]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    size = np.frombuffer(blob, np.int64, n + 1)[1:]
-    at, out = 8 * (n + 1), []
-    for kind, s in zip(kinds, size):
-        out.append(np.frombuffer(blob, kind, int(s) // np.dtype(kind).itemsize, at))
-        at += int(s)
+    head = np.frombuffer(blob, np.int64, 2 * n + 1)[1:]
+    at, out = 8 * (2 * n + 1), []
+    for kind, size in zip(head[::2], head[1::2]):
+        kind = _KINDS[kind]
+        out.append(np.frombuffer(blob, kind, int(size) // kind.itemsize, at))
+        at += int(size)
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as bytes of their differences; 255 adds to the next."""
+    step = np.diff(x, prepend=0)
+    more = step // 255
+    out = np.full(int(more.sum()) + len(x), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = step % 255
+    return out
+
+
+def _unstep(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.int64)[x < 255]
+
+
 def _row(kind: int, part: int, unit: int, payload: bytes) -> tuple:
     return kind, part, unit, payload
 
@@ -99,7 +123,7 @@ SENT = "kind int, part int, unit long, payload binary"
 PAIRS, CONTEXTS, OWN, STATS = 0, 1, 2, 3
 
 
-def send(held: list[tuple], unit: int, p: int) -> Iterator[pa.RecordBatch]:
+def send(held: list[tuple], unit: int, p: int, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of one unit: its keys by partition, and what it keeps (ids, lengths, hot keys)."""
     ids, null, length = (np.concatenate(x) for x in list(zip(*held))[3:])
     docs = np.concatenate([r for _, _, r, *_ in held]).astype(np.uint32)
@@ -111,8 +135,11 @@ def send(held: list[tuple], unit: int, p: int) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         keys = key[first]
         count = np.diff(np.append(first, len(key))).astype(np.uint32)
-        hot = count > HOT
-        own += [keys[hot], count[hot], doc[np.repeat(hot, count)]]
+        hot = count > most
+        # a hot key's documents as ascending numbers: place of the key, then the document
+        of = np.repeat(np.arange(int(hot.sum())), count[hot]) * len(ids) + doc[np.repeat(hot, count)]
+        of.sort()
+        own += [keys[hot], count[hot], _steps(of)]
         listed = doc[np.repeat(~hot, count)]
         part = (((keys >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(part, np.arange(p + 1))
@@ -121,13 +148,13 @@ def send(held: list[tuple], unit: int, p: int) -> Iterator[pa.RecordBatch]:
         for i in range(p):
             a, b = cut[i], cut[i + 1]
             if a < b:
-                rows.append(_row(kind, i, unit, _blob(keys[a:b], count[a:b], listed[where[a] : where[b]], np.array([len(ids)], np.int64))))
+                rows.append(_row(kind, i, unit, _blob(keys[a:b], count[a:b], listed[where[a] : where[b]])))
         if rows:
             yield _batch(rows)
     yield _batch([_row(OWN, int(mix(np.array([unit], np.uint64))[0] % np.uint64(p)), unit, _blob(*own))])
 
 
-def sent(docs: DataFrame, p: int, size: int = UNIT) -> DataFrame:
+def sent(docs: DataFrame, p: int, size: int = UNIT, hot: int = HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, unit, held, n, rows_n = TaskContext.get().partitionId() << 32, 0, [], 0, 0
         for batch in batches:
@@ -137,15 +164,15 @@ def sent(docs: DataFrame, p: int, size: int = UNIT) -> DataFrame:
                 held.append((context, word, rows + rows_n, np.asarray(ids.fill_null(0), dtype=np.int64), np.asarray(ids.is_null()).astype(np.uint8), np.bincount(rows, minlength=part.num_rows).astype(np.int64)))
                 n, rows_n = n + len(word), rows_n + part.num_rows
                 if n >= size:
-                    yield from send(held, task | unit, p)
+                    yield from send(held, task | unit, p, hot)
                     unit, held, n, rows_n = unit + 1, [], 0, 0
         if held:
-            yield from send(held, task | unit, p)
+            yield from send(held, task | unit, p, hot)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SENT)
 
 
-def counted(table: pa.Table, k: int) -> list[tuple]:
+def counted(table: pa.Table, k: int, most: int = HOT) -> list[tuple]:
     """The answers of one partition of keys to the units that sent them, and its counts of counts."""
     kinds = np.asarray(table.column("kind"))
     units = np.asarray(table.column("unit"))
@@ -155,24 +182,24 @@ def counted(table: pa.Table, k: int) -> list[tuple]:
         at = np.flatnonzero(kinds == kind)
         if not len(at):
             continue
-        got = [_arrays(payloads[int(i)].as_buffer(), np.uint64, np.uint32, np.uint32, np.int64) for i in at]
+        got = [_arrays(payloads[int(i)].as_buffer()) for i in at]
         keys, code = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         total = np.bincount(code, np.concatenate([g[1] for g in got])).astype(np.int64)
         if kind == PAIRS:
             out.append(_row(STATS, -1, -1, np.bincount(np.minimum(total, k + 2), minlength=k + 3)[: k + 2].astype(np.int64).tobytes()))
         lo = 0
-        for i, (unit_keys, count, doc, n) in zip(at, got):
+        for i, (unit_keys, count, doc) in zip(at, got):
             r = total[code[lo : lo + len(unit_keys)]]
             lo += len(unit_keys)
-            hot = count > HOT
-            answer = _answer(np.repeat(r[~hot], count[~hot]), doc, int(n[0]), k, kind)
+            hot = count > most
+            answer = _answer(np.repeat(r[~hot], count[~hot]), doc, k, kind)
             out.append(_row(kind, -1, int(units[i]), _blob(unit_keys[hot], r[hot], *answer)))
     for i in np.flatnonzero(kinds == OWN):
         out.append(_row(OWN, -1, int(units[i]), payloads[int(i)].as_py()))
     return out
 
 
-def _answer(r: np.ndarray, doc: np.ndarray, n: int, k: int, kind: int) -> list[np.ndarray]:
+def _answer(r: np.ndarray, doc: np.ndarray, k: int, kind: int) -> list[np.ndarray]:
     """Documents that have any of the keys; for pairs how many have r = 1 .. k; sum of log r above."""
     some, doc = np.unique(doc, return_inverse=True)
     least = k if kind == PAIRS else 0
@@ -188,15 +215,14 @@ def summed(table: pa.Table, logs: np.ndarray, k: int) -> pa.Table:
     """(doc_id, n_tokens, log_prob) of the documents of one unit from all answers to it."""
     kinds = np.asarray(table.column("kind"))
     payloads = [p.as_buffer() for p in table.column("payload")]
-    own = _arrays(payloads[int(np.flatnonzero(kinds == OWN)[0])], np.int64, np.uint8, np.int64, *[np.uint64, np.uint32, np.uint32] * 2)
+    own = _arrays(payloads[int(np.flatnonzero(kinds == OWN)[0])])
     ids, null, length = own[:3]
     total = np.zeros(len(ids))
     weight = np.concatenate([logs[1:], [0.0]])  # of r = 1 .. k
     for kind, sign, mine in ((PAIRS, 1.0, own[3:6]), (CONTEXTS, -1.0, own[6:9])):
         hot: list[tuple] = []
         for i in np.flatnonzero(kinds == kind):
-            types = [np.uint64, np.int64, np.uint32, np.float64] + [np.uint32] * (kind == PAIRS)
-            keys, r, some, log, *hist = _arrays(payloads[int(i)], *types)
+            keys, r, some, log, *hist = _arrays(payloads[int(i)])
             hot.append((keys, r))
             total[some] += sign * log
             if hist:
@@ -206,19 +232,20 @@ def summed(table: pa.Table, logs: np.ndarray, k: int) -> pa.Table:
             order = np.argsort(keys)
             r = r[order][np.searchsorted(keys[order], mine[0])]
             value = np.where(r > k, np.log(r), weight[np.minimum(r, k + 1) - 1]) if kind == PAIRS else np.log(r)
-            total += sign * np.bincount(mine[2], np.repeat(value, mine[1]), len(ids))
+            of = _unstep(mine[2])
+            total += sign * np.bincount(of % len(ids), value[of // len(ids)], len(ids))
     return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": pa.array(length), "log_prob": pa.array(total)})
 
 
-def score_own(docs: DataFrame, k: int = K, unit: int = UNIT) -> DataFrame:
+def score_own(docs: DataFrame, k: int = K, unit: int = UNIT, hot: int = HOT) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under the model of all rows."""
 
     def partition(table: pa.Table) -> pa.Table:
-        rows = counted(table, k)
+        rows = counted(table, k, hot)
         return pa.Table.from_batches([_batch(rows)])
 
     p = parts(docs.sparkSession)
-    answers = written(sent(docs, p, unit).groupBy("part").applyInArrow(partition, SENT), "answers")
+    answers = written(sent(docs, p, unit, hot).groupBy("part").applyInArrow(partition, SENT), "answers")
     n = np.zeros(k + 2, np.int64)
     for r in answers.where(F.col("kind") == STATS).select("payload").collect():  # a few numbers a partition
         n += np.frombuffer(r[0], np.int64)
