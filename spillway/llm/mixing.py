@@ -17,7 +17,8 @@ source, however large.
 Defined cases. A null source is the source ""; a source without weight or
 with weight 0 is left out; a weighted source that has no document is ignored. A null
 or empty text has no tokens and begins in the block that is open. A null doc_id
-is placed like "". Repeated rows lie next to each other. Empty tables give an empty result. Other
+is placed like "". Repeated rows lie next to each other; in ``mixed`` rows of equal source
+and doc_id share the place of the first. Empty tables give an empty result. Other
 columns are passed through by ``mixed`` (which replaces columns named slot, block or block_place) and
 ignored by ``schedule``.
 """
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, read, text_buffer
+from .common import chunks, read, text_buffer, written
 
 BLOCK = 2048
 SEED = "mixing-1"
 PHI = 2654435769  # 2**32 / golden ratio
 RANGE = 3  # hex digits of the hash that name a range
+FEW = 2_000_000  # places that are broadcast (128 MB)
 SLOTS = 1 << 16  # slots of a chunk
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
@@ -106,22 +108,33 @@ def totals(rows: DataFrame, block: int, weights: dict[str, float] | None) -> lis
     return [(r["__source"], weight(r["__source"], r["n"]), -(-r["n"] // block)) for r in sums]
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """(slot, source, block, doc_id, n_tokens): the documents of each slot of the schedule."""
+def planned(docs: DataFrame, weights: dict[str, float] | None, block: int, seed: str) -> DataFrame:
+    """(slot, __source, __block, __start, doc_id, __tokens) of the scheduled rows; texts are read once and stay where they are."""
     rows = counted(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("__source"), "text")).drop("text")
+    rows = written(rows, "token-counts")
     plan = slots(docs.sparkSession, totals(rows, block, weights))
-    return placed(rows, block, seed).join(plan, ["__source", "__block"]).select("slot", F.col("__source").alias("source"), F.col("__block").alias("block"), "doc_id", F.col("__tokens").alias("n_tokens"))
+    return placed(rows, block, seed).join(plan, ["__source", "__block"])
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """(slot, source, block, doc_id, n_tokens): the documents of each slot of the schedule."""
+    rows = planned(docs, weights, block, seed)
+    return rows.select("slot", F.col("__source").alias("source"), F.col("__block").alias("block"), "doc_id", F.col("__tokens").alias("n_tokens"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """The scheduled rows of ``docs`` with all their columns, and slot, block and block_place (tokens before it in its block)."""
-    source = F.coalesce("source", F.lit("")).alias("__source")
-    plan = slots(docs.sparkSession, totals(counted(docs.select(source, "text")).drop("text"), block, weights))
+    """The scheduled rows of ``docs`` with all their columns, and slot, block and block_place (tokens before it in its block).
+
+    The places join the texts by source and doc_id: broadcast while they are FEW rows at most, else one shuffle."""
+    identity = [F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    rows = planned(docs, weights, block, seed)
+    first = F.min(F.struct("slot", F.col("__block").alias("block"), (F.col("__start") - F.col("__block") * block).alias("block_place"))).alias("__place")
+    places = written(rows.groupBy("__source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")).agg(first), "places")
+    if places.count() <= FEW:
+        places = F.broadcast(places)
     kept = [c for c in docs.columns if c.lower() not in ("slot", "block", "block_place")]
-    rows = counted(docs.select("doc_id", source, "text", F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("__row")))
-    rows = placed(rows, block, seed).join(plan, ["__source", "__block"])
-    columns = [F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in kept]
-    return rows.select(*columns, "slot", F.col("__block").alias("block"), (F.col("__start") - F.col("__block") * block).alias("block_place"))
+    full = docs.join(places, (identity[0] == places["__source"]) & (identity[1] == places["__id"]))
+    return full.select(*[docs[c] for c in kept], *[F.col("__place")[c].alias(c) for c in ("slot", "block", "block_place")])
 
 
 ORACLE = f"""
