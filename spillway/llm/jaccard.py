@@ -4,7 +4,7 @@ A document is the set of its hashed word N-grams. The join finds the pairs of do
 sets have a Jaccard similarity of THRESHOLD or more.
 
 Sets that may be similar are brought together first: MinHash (of one permutation; of
-many for small sets) with BANDS bands of ROWS values (a pair of similarity 0.5 shares a band with
+many for small sets; sets near the border have both, so that any two similar sets have one kind in common) with BANDS bands of ROWS values (a pair of similarity 0.5 shares a band with
 probability 0.95, one of 0.6 with 0.999, and copies of a group find each other through others),
 an edge from each band's members to its least, and connected components of
 the edges by alternating large-star and small-star steps. Then each component's
@@ -44,7 +44,7 @@ SLOTS = BANDS * ROWS
 FEW = 4_000_000  # ids that are broadcast (64 MB)
 QUERIES = 512  # sets that query the trie at once
 _POSITION = 9  # bits of a slot's number
-SMALL = 256  # n-grams up to which a set has a hash function for each slot
+SMALL = 256  # different n-grams above which a set has a signature of one permutation; up to SMALL / threshold it has one of a hash function for each slot
 EMPTY = np.uint64((1 << 64) - 1)
 _ADD, _TIMES = np.random.default_rng(7).integers(0, 1 << 32, (2, SLOTS), dtype=np.uint32)
 _TIMES |= np.uint32(1)
@@ -56,11 +56,37 @@ def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams(hashes, rows, n, len(column))
 
 
-def signatures(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a set, and their band keys (rows x BANDS)."""
+def signatures(column: pa.Array, n: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(row, band key), BANDS keys for each kind of signature that a row's set has.
+
+    The lesser of two similar sets has at least threshold times the greater's n-grams, so either both
+    have SMALL / threshold at most, or both more than SMALL."""
     h, rows = sets(column, n)
     count = len(column)
-    h = mix(h)
+    order = np.lexsort((h, rows))
+    h, rows = h[order], rows[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    h, rows = mix(h[once]), rows[once]
+    size = np.bincount(rows, minlength=count)
+    few, many = np.flatnonzero((size > 0) & (size * threshold <= SMALL)), np.flatnonzero(size > SMALL)
+    kinds = [(0, few, several(h, rows, few))] if len(few) else []
+    if len(many):
+        at = size[rows] > SMALL
+        kinds.append((BANDS, many, single(h[at], np.searchsorted(many, rows[at]), len(many))))
+    out_rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for base, chosen, least in kinds:
+        key = np.tile(np.arange(base, base + BANDS, dtype=np.uint64), (len(least), 1))
+        with np.errstate(over="ignore"):
+            for r in range(ROWS):
+                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + least[:, r * BANDS : (r + 1) * BANDS])
+        out_rows.append(np.repeat(chosen, BANDS))
+        out.append(key.ravel())
+    return np.concatenate(out_rows), np.concatenate(out)
+
+
+def single(h: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """MinHash of one permutation of ``count`` sets, none of them empty."""
     slot = ((h >> np.uint64(32)) * np.uint64(SLOTS)) >> np.uint64(32)
     # row | slot | 40 bits of hash in one number: sorting it puts each slot's least value first
     few = 64 - _POSITION - 40
@@ -74,8 +100,6 @@ def signatures(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         first[1:] = place[1:] != place[:-1]
         key, place = key[first], place[first]
         least[(place >> np.uint64(_POSITION)).astype(np.int64) + lo, (place & np.uint64((1 << _POSITION) - 1)).astype(np.int64)] = key & np.uint64((1 << 40) - 1)
-    filled = np.flatnonzero((least != EMPTY).any(1))
-    least = least[filled]
     # an empty slot takes the next filled one's value, marked with the distance
     place = np.arange(SLOTS)
     with np.errstate(over="ignore"):
@@ -85,14 +109,7 @@ def signatures(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
         there = np.minimum.accumulate(there[:, ::-1], 1)[:, ::-1][:, :SLOTS]
         moved = np.take_along_axis(least, there % SLOTS, 1)
         least = np.where(gap, mix(moved + (there - place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24), least)
-        size = np.bincount(rows, minlength=count)[filled]
-        small = np.flatnonzero(size <= SMALL)
-        if len(small):
-            least[small] = several(h, rows, filled[small])
-        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(least), 1))
-        for r in range(ROWS):
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + least[:, r * BANDS : (r + 1) * BANDS])
-    return filled, key
+    return least
 
 
 def several(h: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -115,16 +132,16 @@ def several(h: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
-def edges(docs: DataFrame, n: int) -> DataFrame:
+def edges(docs: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b), a < b: documents that share a band with its least member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                rows, key = signatures(part.column("text"), n)
+                rows, key = signatures(part.column("text"), n, threshold)
                 if len(rows):
                     ids = np.asarray(part.column("doc_id"), dtype=np.int64)[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["band", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["band", "id"])
 
     bands = docs.mapInArrow(run, "band long, id long")
     groups = bands.groupBy("band").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
@@ -262,7 +279,7 @@ def leaves(ids: np.ndarray, column: pa.Array, n: int) -> tuple[list[list[int]],
 def grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the similar pairs; the work of a component is one call."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    root = components(edges(some, n))
+    root = components(edges(some, n, threshold))
     together = some.join(few(written(root.withColumnRenamed("id", "doc_id"), "roots")), "doc_id")
 
     def run(table: pa.Table) -> pa.Table:

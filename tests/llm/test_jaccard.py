@@ -92,3 +92,17 @@ def test_edges(spark, edge):
     assert out.columns == edge.columns and out.count() == edge.count() - 1  # the repeated row
     assert j.pairs(edge.limit(0)).count() == 0 and j.keep(edge.limit(0)).count() == 0
     assert j.pairs(make(spark, [(1, "a"), (2, "A."), (3, "b")])).collect()[0][:2] == (1, 2)
+
+
+def test_recall_across_the_border_of_set_sizes(spark):
+    docs, want = [], set()
+    for g in range(60):
+        rng = random.Random(g)
+        w = [f"w{g}x{k}" for k in range(j.SMALL + 40)]
+        docs += [(2 * g, " ".join(w[: j.SMALL - rng.randrange(10)])), (2 * g + 1, " ".join(w[: j.SMALL + 3 + rng.randrange(35)]))]
+        want.add((2 * g, 2 * g + 1))
+    text = " ".join(f"twice{k}" for k in range(200))
+    docs += [(500, text), (501, text + " " + text)]
+    want.add((500, 501))
+    assert set(brute(docs, j.THRESHOLD)) == want
+    assert {(r.doc_id_a, r.doc_id_b) for r in j.pairs(make(spark, docs)).collect()} == want
