@@ -10,9 +10,11 @@ last aligned words span plus what the template lacks.
 A text is aligned with a template only if it holds at least THRESHOLD of the template's words
 (each as often as in the template, which coverage cannot exceed). These bounds
 are counted with numpy for all texts and templates at once. The
-text is cut at its places richest in template words: a window of the
-text that can hold the template (twice its length) around every rarest template
-word is aligned, so words that are frequent elsewhere in a long text do no harm.
+text is cut at its places richest in template words: windows around every rarest template
+word are aligned, so words that are frequent elsewhere in a long text do no harm. One window can hold
+the template wherever the word is in it (twice its length to each side). Copies of a license that
+follow each other repeat all its words there, so two more kinds are aligned: between the word's occurrences before and
+after, and of the template's length from where it would begin.
 
 Templates are broadcast; they are a fixed list or a parameter, whose size is checked.
 
@@ -131,7 +133,7 @@ class Library:
         for t, need in enumerate(self.need):
             cols = np.flatnonzero(need)
             share = np.minimum(held[:, cols], need[cols]).sum(1) / self.total[t]
-            for r in np.flatnonzero(share >= self.threshold):
+            for r in np.flatnonzero(share >= self.threshold - 1e-9):
                 row = int(some[r])
                 found = self.place(hashes[bounds[row] : bounds[row + 1]], t, held[r])
                 if found:
@@ -143,23 +145,35 @@ class Library:
         template = self.words[t]
         m = len(template)
         best: tuple[float, int, int] | None = None
-        # any alignment that reaches the threshold lacks fewer than this many words,
-        # so one of so many of the rarest must lie in it
-        lacking = int(m * (1 - self.threshold)) + 1
+        # an alignment that reaches the threshold has `enough` words and lacks the others at most,
+        # so one of so many and one more of the rarest must lie in it
+        enough = int(np.ceil(self.threshold * m - 1e-9))
+        lacking = m - enough + 1
         cols = np.flatnonzero(self.need[t])
         order = cols[np.argsort(held[cols], kind="stable")]
         cum = np.cumsum(self.need[t][order])
         seeds = self.vocabulary[order[: int(np.searchsorted(cum, lacking)) + 1]]
         spots = np.flatnonzero(np.isin(text, seeds))
+        within = {w: np.flatnonzero(np.array(template, np.uint64) == w) for w in seeds}
+        places = {w: np.flatnonzero(text == w) for w in seeds}
+        known = np.append(0, np.cumsum(np.isin(text, np.array(template, np.uint64))))
+        windows: set[tuple[int, int]] = set()
         last = -m - 1
-        for s in spots:
-            if s - last <= m:  # the window before holds whatever lies around this word
+        for s in spots.tolist():
+            at, near = within[text[s]], places[text[s]]
+            k, times = int(np.searchsorted(near, s)), len(at)
+            if s - last > m:  # else the window before holds whatever lies around this word
+                last = s
+                windows.add((s - 2 * m, s + 2 * m))
+            # as many occurrences as the template has, this one the first, and none beyond them
+            before = int(near[k - 1]) + 1 if k else 0
+            after = int(near[k + times]) if k + times < len(near) else len(text)
+            windows.add((max(before, s - 2 * m), min(after, s + 2 * m)))
+            windows.update((s - p, s - p + m) for p in at.tolist())
+        for lo, hi in sorted({(max(0, lo), min(len(text), hi)) for lo, hi in windows}):
+            if known[hi] - known[lo] < enough:
                 continue
-            last = int(s)
-            lo, hi = max(0, last - 2 * m), min(len(text), last + 2 * m)
             window = text[lo:hi]
-            if np.isin(window, np.array(template, np.uint64)).sum() < self.threshold * m:
-                continue
             aligned = patience(template, window.tolist())
             # keep the densest run: the template's matches must lie within twice its length
             js = [j for _, j in aligned]
@@ -168,8 +182,9 @@ class Library:
                 while js[b] - js[a] >= 2 * m:
                     a += 1
                 coverage = (b - a + 1) / m
-                if coverage >= self.threshold and (best is None or coverage > best[0] + 1e-12):
-                    best = (coverage, lo + js[a], lo + js[b])
+                found = (coverage, lo + js[a], lo + js[b])
+                if b - a + 1 >= enough and (best is None or (-coverage, *found[1:]) < (-best[0], *best[1:])):
+                    best = found
         return best
 
 

@@ -169,3 +169,22 @@ def test_scan_misses_nothing_that_whole_alignment_finds(seed):
         whole = len(licenses.patience(template, words)) / len(template)
         if whole >= 0.8:
             assert found.get(name, 0) >= 0.8
+
+
+def test_repeated_licenses_and_coverage_at_the_threshold(spark):
+    mit = dict(licenses.TEMPLATES)["MIT"]
+    n = len(mit.split())
+    docs = [
+        (1, "intro Released under the MIT License and Released under the MIT License outro"),
+        (2, "Copyright X " + mit + " Copyright Y " + mit),
+        (3, "Released under an MIT License"),
+        (4, " ".join(["Released under the MIT License."] * 5)),
+        (5, " ".join(mit.split()[: n // 3]) + " Copyright X " + mit + " Copyright Y " + " ".join(mit.split()[n // 2 :])),
+        (6, "Released under an old License"),
+        (7, "under the MIT License. Released under the changed MIT License. Released under the"),
+    ]
+    got = {(r.doc_id, r.license): (r.coverage, r.first_word, r.last_word) for r in licenses.scan(make(spark, docs)).collect()}
+    assert got[1, "MIT-notice"] == (1.0, 1, 5) and got[4, "MIT-notice"] == (1.0, 0, 4)
+    assert got[2, "MIT"][:2] == (1.0, 2) and got[5, "MIT"][0] == 1.0
+    assert got[3, "MIT-notice"] == (0.8, 0, 4) and got[7, "MIT-notice"] == (1.0, 4, 9)
+    assert not any(d == 6 for d, _ in got)
