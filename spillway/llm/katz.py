@@ -11,8 +11,9 @@ context of its own, the start.
 pairs, contexts (with alpha) and words. ``score`` evaluates any documents against
 them, token by token and backing off level by level, as joins.
 
-``score_own`` scores the documents that the model is trained on, which is the
-whole corpus in the registered query. It computes the same as
+The registered query trains on the documents labelled of good quality and scores all, so unseen pairs back off.
+
+``score_own`` scores the documents that the model is trained on. It computes the same as
 ``score(docs, train(docs))`` without a row for each token. A unit of
 some millions of tokens sends each different pair and context once, with its count and the documents
 that have it, to the hash partition of the key; the partition adds up the counts of all
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, pair, parts, read, shared_path, words, written
 
 K = 5
+FEW = 2_000_000  # labelled ids that are broadcast (16 MB)
 UNIT = 1_500_000  # tokens that are sent together
 HOT = 512  # occurrences in a unit from which a key is hot
 START = np.uint64(0x5851F42D4C957F2D)
@@ -320,4 +322,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_own(read(spark, sf_dir, "documents"))
+    """All documents under the model of those labelled of good quality (of all where none is)."""
+    docs = read(spark, sf_dir, "documents")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
+    n = good.count()
+    some = docs.join(F.broadcast(good) if n <= FEW else good, docs["doc_id"] == good["__id"], "left_semi") if n else docs
+    return score(docs, train(some))

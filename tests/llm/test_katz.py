@@ -88,3 +88,12 @@ def test_edges(spark, edge):
     assert k.score_own(edge.limit(0)).count() == 0
     a = sorted((r.doc_id or 0, round(r.log_prob, 6)) for r in k.score_own(edge).collect())
     assert a == sorted((r.doc_id or 0, round(r.log_prob, 6)) for r in k.score(edge, k.train(edge)).collect())
+
+
+def test_registered_query_backs_off(spark, tmp_path):
+    texts = [*TEXTS, prose(900, 50), "qqq www zzz"]
+    make(spark, list(enumerate(texts))).toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, int(i < 30), 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int").toPandas().to_parquet(tmp_path / "labels.parquet")
+    model = Brute(TEXTS[:30])
+    got = {r.doc_id: r.log_prob for r in k.op5_lm_scoring(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(got[i] == pytest.approx(model.log(t), rel=1e-9) for i, t in enumerate(texts))
