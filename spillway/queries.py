@@ -239,7 +239,7 @@ def hash_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_xxh64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply(table(spark, sf_dir, "documents"), {"type": "hash", "fields": [{"field": "absent"}, {"field": "text", "max_size": 200}], "result_field": "h"}).select("doc_id", "h")
+    return apply(table(spark, sf_dir, "documents"), {"type": "hash", "fields": [{"field": "absent"}, {"field": "text"}], "result_field": "h"}).select("doc_id", "h")
 
 
 @query("SELECT event_id, 'é:' || event_type AS t FROM events")

@@ -174,6 +174,22 @@ def test_hash_values(spark):
     assert [g["h"] for g in got] == [xxhash.xxh64_intdigest(t.encode()) for t in texts]
 
 
+def test_hash_takes_whole_texts_and_max_size_bytes_when_set(spark, tmp_path):
+    import xxhash
+
+    from spillway.queries import hash_xxh64
+
+    texts = ["é" * 150 + x for x in ("", "a", "b" * 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = {r.doc_id: r.h for r in hash_xxh64(spark, str(tmp_path)).collect()}
+    spec = {"type": "hash", "fields": [{"field": "text", "max_size": 200}], "result_field": "h"}
+    cut = {r.doc_id: r.h for r in apply(df, spec).collect()}
+    unsigned = lambda x: int(x) % (1 << 64)
+    assert {i: unsigned(x) for i, x in got.items()} == {i: xxhash.xxh64_intdigest(t.encode()) for i, t in enumerate(texts)}
+    assert {i: unsigned(x) for i, x in cut.items()} == {i: xxhash.xxh64_intdigest(t.encode()[:200]) for i, t in enumerate(texts)}
+
+
 def test_distribution_trace():
     spec = {"ratios": [{"ratio": 0.5, "values": ["error"]}, {"ratio": 0.3, "values": ["warn", "info"]}]}
     levels = ["error"] * 5 + ["info"] * 2 + ["warn"] * 1 + ["debug"] * 3 + [""] + ["x"] * 5
