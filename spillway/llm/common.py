@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 2 << 20  # bytes of text that are handled at once; a longer text is a chunk of its own
+ROWS = 1 << 15  # rows of a chunk
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -65,14 +66,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``limit`` bytes of text, or one row."""
+    """Slices of a batch with at most ``limit`` bytes of text and ROWS rows, or one row."""
     if not batch.num_rows:
         return
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
     lo = 0
     while lo < len(size):
         before = size[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(size, before + limit, "right")))
+        hi = min(max(lo + 1, int(np.searchsorted(size, before + limit, "right"))), lo + ROWS)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -163,10 +164,12 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests, a folder under the warehouse is set.
+    Where the session names none, a local session (as in tests) gets a folder under its warehouse; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_shared")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -174,11 +177,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read from a table in the shared folder, which cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The same rows read from a table in the shared folder, which cuts the lineage.
+
+    The shuffle files of the write are removed with its end, as the table replaces them.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` from which nothing will be read any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

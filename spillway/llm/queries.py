@@ -16,4 +16,4 @@ QUERIES = {
     "op9_url_filters": url_rules.op9_url_filters,
     "op10_license_scans": licenses.op10_license_scans,
 }
-ORACLE_SQL = {"op1_source_mixing": mixing.ORACLE, "op9_url_filters": url_rules.ORACLE}
+ORACLE_SQL = {"op1_source_mixing": mixing.ORACLE, "op4_ngram_jaccard_join": jaccard.ORACLE, "op9_url_filters": url_rules.ORACLE}

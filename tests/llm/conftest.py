@@ -21,7 +21,7 @@ def prose(seed, n=60):
     return " ".join("".join(rng.choice(["ba", "ne", "lo", "ti", "su", "ra", "mi"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
-CLASH = ("row", "id", "key", "weight", "tokens", "slot", "block", "score", "unit", "part", "band", "root", "token", "n", "keep", "count", "hash")
+CLASH = ("row", "id", "key", "weight", "tokens", "slot", "block", "score", "unit", "part", "band", "root", "token", "n", "keep", "count", "hash", "doc.x", "text.y", "__place", "__row", "__id", "__set", "__weight", "__logppl", "__tokens", "__source", "set", "cell", "links", "gram", "unit.1")
 EDGE = [(1, None), (2, ""), (3, " \n "), (4, "..."), (None, "a b c d"), (5, "x"), (6, "same text here again"), (6, "same text here again"), (7, "\U0001F600 é ß " * 3)]
 
 
