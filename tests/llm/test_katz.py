@@ -17,83 +17,108 @@ class Brute:
     """Katz backoff with dictionaries."""
 
     def __init__(self, texts):
-        self.pairs, self.contexts, self.words = Counter(), Counter(), Counter()
+        self.n = {1: Counter(), 2: Counter(), 3: Counter()}
+        self.context = {1: Counter(), 2: Counter()}
         for t in texts:
-            w = split(t)
-            for v, x in zip([None, *w], w):
-                self.pairs[v, x] += 1
-                self.contexts[v] += 1
-                self.words[x] += 1
-        count = lambda c: [sum(r == i for r in c.values()) for i in range(k.K + 2)]
-        self.dp, self.dw = k.discounts(count(self.pairs)), k.discounts(count(self.words))
-        self.total = sum(self.words.values())
-        self.left = 1 - sum(self.raw(x) for x in self.words)
-        if self.left < 1e-12:
-            self.left, self.total = 1 / (self.total + 1), self.total + 1
-
-    def raw(self, x):
-        r = self.words[x]
-        return (self.dw[r] if r <= k.K else 1) * r / self.total
-
-    def p1(self, x):
-        return self.raw(x) if x in self.words else self.left
-
-    def p2(self, v, x):
-        r = self.pairs.get((v, x), 0)
-        if r:
-            return (self.dp[r] if r <= k.K else 1) * r / self.contexts[v]
-        if v not in self.contexts:
-            return self.p1(x)
-        seen = [b for a, b in self.pairs if a == v]
-        q, p = sum(self.p2(v, b) for b in seen), sum(self.p1(b) for b in seen)
-        return (1 - q) / (1 - p) * self.p1(x) if q < 1 - 1e-12 else math.exp(-1e6)
+            for h, x in self.events(t):
+                for m in range(len(h) + 1):
+                    self.n[m + 1][(*h[len(h) - m :], x)] += 1
+                    if m:
+                        self.context[m][h[len(h) - m :]] += 1
+        self.d = {m: k.discounts([sum(r == i for r in c.values()) for i in range(k.K + 2)]) for m, c in self.n.items()}
+        self.total = sum(self.n[1].values())
+        self.children = {}
+        for m in (2, 3):
+            for g, r in self.n[m].items():
+                if r >= k.CUT:
+                    self.children.setdefault(g[:-1], []).append(g[-1])
+        self.left = 1 - sum(self.p((), x[0]) for x in self.n[1])
+        self.backed = Counter()
+
+    def events(self, t):
+        w = split(t)
+        seq = ["<s>", *w, "</s>"]
+        return [(tuple(seq[max(0, i - 2) : i]), seq[i]) for i in range(1, len(seq))] if w else []
+
+    def p(self, h, x):
+        r = self.n[len(h) + 1].get((*h, x), 0)
+        if not h:
+            return float(self.d[1](r)) * r / self.total if r else self.left
+        if r >= k.CUT:
+            return float(self.d[len(h) + 1](r)) * r / self.context[len(h)][h]
+        return self.alpha(h) * self.p(h[1:], x)
+
+    def alpha(self, h):
+        seen = self.children.get(h, [])
+        return (1 - sum(self.p(h, x) for x in seen)) / (1 - sum(self.p(h[1:], x) for x in seen))
 
     def log(self, t):
-        w = split(t)
-        return sum(math.log(max(self.p2(v, x), 1e-300)) for v, x in zip([None, *w], w))
+        return sum(math.log(self.p(h, x)) for h, x in self.events(t))
+
 
+TEXTS = [prose(i, 80) for i in range(40)] + [prose(3, 80), "ba ne ba ne ba ne", "x"]
 
-TEXTS = [prose(i, 80) for i in range(40)]
 
+def scores(spark, trained, texts, unit=10**6, part=10**6):
+    model = k.train(k.units(make(spark, list(enumerate(trained))), unit), part)
+    got = k.score(k.units(make(spark, list(enumerate(texts))), unit), model).collect()
+    return {r.doc_id: r for r in got}
 
-def test_own_scores_are_brute_force_and_those_of_the_tables(spark):
-    docs = make(spark, list(enumerate(TEXTS)))
+
+@pytest.mark.parametrize("unit,part", [(10**6, 10**6), (300, 500)])
+def test_scores_are_brute_force(spark, unit, part):
     model = Brute(TEXTS)
-    want = {i: model.log(t) for i, t in enumerate(TEXTS)}
-    tables = {r.doc_id: r.log_prob for r in k.score(docs, k.train(docs)).collect()}
-    for unit, hot in ((10**6, 512), (300, 3), (300, 10**6)):
-        got = {r.doc_id: r.log_prob for r in k.score_own(docs, unit=unit, hot=hot).collect()}
-        assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
-    assert all(tables[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+    tokens = k.units(make(spark, list(enumerate(TEXTS))), unit)
+    trained = k.train(tokens, part)
+    for rows in (k.score(tokens, trained, trained.answers), k.score(tokens, trained)):
+        got = {r.doc_id: r for r in rows.collect()}
+        assert len(got) == len(TEXTS)
+        for i, t in enumerate(TEXTS):
+            assert got[i].log_prob == pytest.approx(model.log(t), rel=1e-9) and got[i].n_tokens == len(split(t))
+            assert got[i].perplexity == pytest.approx(math.exp(-model.log(t) / (len(split(t)) + 1)), rel=1e-9)
 
 
-def test_unseen_text_backs_off(spark):
-    model, tables = Brute(TEXTS), k.train(make(spark, list(enumerate(TEXTS))))
-    new = [prose(900, 50), "ba zzz ne", "qqq www", "mi"]
-    for r in k.score(make(spark, list(enumerate(new))), tables).collect():
-        assert r.log_prob == pytest.approx(model.log(new[r.doc_id]), rel=1e-9)
+def test_other_texts_and_unknown_words(spark):
+    model, new = Brute(TEXTS), [prose(900, 50), "ba zzz ne", "qqq www", "mi", "", "ba ne ba ne", "x x"]
+    got = scores(spark, TEXTS, new, 200, 300)
+    assert all(got[i].log_prob == pytest.approx(model.log(t), rel=1e-9) for i, t in enumerate(new))
 
 
-def test_every_context_sums_to_one():
+def test_every_history_sums_to_one():
     model = Brute(TEXTS)
-    for v in [None, *list(model.words)[:15], "never"]:
-        if v is None or v in model.contexts:
-            assert sum(model.p2(v, x) for x in [*model.words, "unknown"]) == pytest.approx(1)
+    words = [g[0] for g in model.n[1]]
+    for h in [(), ("<s>",), ("never",), ("never", "ba"), *list(model.context[1])[:10], *list(model.children)[:40]]:
+        assert sum(model.p(h, x) for x in [*words, "unknown"]) == pytest.approx(1)
 
 
-def test_edges(spark, edge):
-    out = {(r.doc_id, r.n_tokens) for r in k.score_own(edge).collect()}
-    assert {(1, 0), (2, 0), (3, 0), (5, 1), (6, 4), (None, 4)} <= out and k.score_own(edge).count() == edge.count()
-    assert all(r.perplexity is None and r.log_prob == 0 for r in k.score_own(edge).where("n_tokens = 0").collect())
-    assert k.score_own(edge.limit(0)).count() == 0
-    a = sorted((r.doc_id or 0, round(r.log_prob, 6)) for r in k.score_own(edge).collect())
-    assert a == sorted((r.doc_id or 0, round(r.log_prob, 6)) for r in k.score(edge, k.train(edge)).collect())
+def test_discounts_always_leave_mass():
+    for n in ([0] * 7, [0, 5, 0, 0, 0, 0, 0], [0, 100, 40, 20, 12, 8, 5], [0, 1, 50, 2, 9, 9, 9], [0, 0, 3, 0, 0, 0, 1]):
+        d = k.discounts(n)
+        assert all(0 < float(d(r)) < 1 for r in [*range(1, 12), 1000])
+    d = k.discounts([0, 100, 40, 20, 12, 8, 5])
+    common = 6 * 5 / 100
+    assert float(d(1)) == pytest.approx((2 * 40 / 100 - common) / (1 - common))
 
 
-def test_registered_query_backs_off(spark, tmp_path):
-    texts = [*TEXTS, prose(900, 50), "qqq www zzz"]
+def test_tokens_really_back_off_and_copies_stand_out(spark, tmp_path):
+    texts = [prose(i, 120) for i in range(60)]
+    texts[50:60] = texts[:10]
     make(spark, list(enumerate(texts))).toPandas().to_parquet(tmp_path / "documents.parquet")
-    spark.createDataFrame([(i, int(i < 30), 0) for i in range(len(texts))], "doc_id bigint, quality int, toxic int").toPandas().to_parquet(tmp_path / "labels.parquet")
-    model = Brute(TEXTS[:30])
-    got = {r.doc_id: r.log_prob for r in k.op5_lm_scoring(spark, str(tmp_path)).collect()}
-    assert len(got) == len(texts) and all(got[i] == pytest.approx(model.log(t), rel=1e-9) for i, t in enumerate(texts))
+    model = Brute(texts)
+    kinds = Counter(3 if model.n[3].get((*h, x), 0) >= k.CUT else 2 if model.n[2].get((*h[-1:], x), 0) >= k.CUT else 1 for t in texts for h, x in model.events(t))
+    assert min(kinds.values()) > 0.1 * sum(kinds.values())
+    got = {r.doc_id: r.perplexity for r in k.op5_lm_scoring(spark, str(tmp_path)).collect()}
+    assert all(got[i] == pytest.approx(math.exp(-model.log(t) / (len(split(t)) + 1)), rel=1e-9) for i, t in enumerate(texts))
+    assert max(got[i] for i in [*range(10), *range(50, 60)]) < min(got[i] for i in range(10, 50))
+
+
+def test_edges(spark, edge):
+    tokens = k.units(edge)
+    out = k.score(tokens, m := k.train(tokens), m.answers).collect()
+    assert {(1, 0), (2, 0), (3, 0), (5, 1), (6, 4), (None, 4)} <= {(r.doc_id, r.n_tokens) for r in out} and len(out) == edge.count()
+    assert all(r.perplexity is None and r.log_prob == 0 for r in out if not r.n_tokens)
+    assert len({r.log_prob for r in out if r.doc_id == 6}) == 1
+    none = k.units(edge.limit(0))
+    assert k.score(none, k.train(none)).count() == 0
+    named = k.units(edge.selectExpr("concat('d', doc_id) as doc_id", "text"))
+    assert {r.doc_id for r in k.score(named, m).collect()} == {None, *(f"d{i}" for i in range(1, 9))}
