@@ -1,112 +1,197 @@
 """Operator 8, quality classifier: importance resampling with hashed n-gram models.
 
-Two bag-of-n-grams models over BUCKETS hashed n-grams (words, signs, word-initial
-character n-grams), each taken once for a document that has it, are counted in one pass: the target's, from documents labelled of good quality and not toxic,
-and the raw text's, from all documents. A bucket's log ratio counts only where the two counts
-differ by SIGMA standard deviations (rare n-grams, which a sample of the target
-lacks by chance, decide nothing), and is centred so that the target's mean is 0. A document's log weight is the sum over its n-grams. The sample is the
-Gumbel top-k: the k greatest sums of log weight and standard Gumbel noise, the
-noise being a function of the seed and doc_id. k is the number of documents whose
-log weight reaches the threshold that best parts the labelled rows that the target
-model hasn't seen, one of HELD (greatest share of others dropped less COST times the share of target dropped); it may be given instead.
-
-The labels of at most MAX_LABELS documents (those of least hash of doc_id) fit
-the target model and the threshold. Everything else covers all documents.
-
-Defined cases. A null or empty text has log weight 0. Without any labelled target
-row all documents are kept. Equal keys (repeated rows) are kept or dropped
-together. A null doc_id counts as unlabelled and shares one noise. An empty table
-gives an empty result. ``keep`` passes other columns through; ``score`` ignores them.
+Two bag-of-n-grams models, of the target's text (documents labelled of good quality and not toxic) and of the raw text (all
+documents), count hashed n-grams in one pass: words, pairs of words and runs of other signs, each with its language, so
+that a language's share of the labels decides nothing. A document's log importance weight is the sum, over its n-grams as often as
+they occur, of the log ratio of the n-gram's probability in the target to that in the raw text:
+
+    log (t + PRIOR s) / (r s + PRIOR s) * P(differs)
+
+t and r are counts without the document itself (its own n-grams would speak for a labelled document and against
+others), s the target's share of the language's n-grams. PRIOR raw occurrences are taken to have the target's share.
+P(differs) is the posterior probability that the n-gram's document frequencies in target and raw text differ at all: from their binomial
+likelihood ratio and a prior of INFORMATIVE n-grams among those of the order that occur. It is smooth and the same formula at every size.
+
+The sample is the Gumbel top-k: the k greatest sums of log weight and standard Gumbel noise, the noise being a function
+of the seed and doc_id. k may be given; by default it is the number of documents whose log weight
+reaches the threshold that best parts the labelled rows that the target model hasn't seen, one of HELD (greatest
+share of others dropped less COST times the share of target dropped).
+
+The labels of at most MAX_LABELS documents (those of least hash of doc_id) fit the target model and the
+threshold. Everything else covers all documents. What is broadcast has a fixed size (BUCKETS counts and LANGS languages, and the labels' ids).
+
+Defined cases. A null or empty text has log weight 0, and so has a text in a language without target rows; a null language is the language "".
+Without any labelled target row all documents are kept. Equal keys (repeated rows) are kept or dropped
+together. A null doc_id counts as unlabelled and shares one noise. doc_id may be of any type. An empty table
+gives an empty result. ``keep`` passes other columns through, whatever their names; ``score`` ignores them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, prefixes, read, unit, words, written
+from .common import chunks, mix, pair, read, unit, words, written
+from .exchange import SENT, batch, pack, unpack
 
-BUCKETS = 1 << 18
-PREFIXES = (5, 7)
-SHRINK = 0.5
-SIGMA = 3.0
+BUCKETS = 1 << 20  # half for words and signs, half for pairs
+LANGS = 1 << 12
+SLICES = 64
+PRIOR = 2.0
+INFORMATIVE = 100.0
 HELD = 3  # one of so many labelled documents fits the threshold, the others the target model
 COST = 5.0  # what a target row that is dropped costs, in other rows that are
 MAX_LABELS = 2_000_000
 SEED = "importance-1"
+NO_ID = -(1 << 62)
+_langs: dict[str, int] = {}
 
 
-def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row): each hashed n-gram once for a text that has it.
+def language(name: str | None) -> int:
+    name = name or ""
+    if name not in _langs:
+        _langs[name] = int.from_bytes(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return _langs[name]
 
-    These are words as written, longest runs of other characters but space, and
-    the n-grams of PREFIXES bytes at the beginning of lower-case words."""
-    found = [words(column, lower=False)[:2], words(column, lower=False, signs=True)[:2]]
-    found += [prefixes(column, n) for n in PREFIXES]
-    hashes, rows = (np.concatenate(x) for x in zip(*found))
-    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    both = np.unique(rows * BUCKETS + (hashes >> shift).astype(np.int64))
-    return both % BUCKETS, both // BUCKETS
+
+def buckets(text: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the different hashed n-grams of each text, and each row's language slot."""
+    names = np.array([language(x) for x in lang.to_pylist()], np.uint64)
+    half = BUCKETS // 2
+    shift = np.uint64(64 - half.bit_length() + 1)
+    h, rows, _, _ = words(text)
+    found = [((mix(h ^ names[rows]) >> shift).astype(np.int64), rows)]
+    if len(h) > 1:
+        inside = rows[1:] == rows[:-1]
+        r = rows[1:][inside]
+        found.append(((mix(pair(h[:-1], h[1:])[inside] ^ names[r]) >> shift).astype(np.int64) + half, r))
+    h, rows, _, _ = words(text, lower=False, signs=True)
+    found.append(((mix(pair(h, h) ^ names[rows]) >> shift).astype(np.int64), rows))
+    b, r = (np.concatenate(x) for x in zip(*found))
+    both, count = np.unique(r * BUCKETS + b, return_counts=True)
+    return both // BUCKETS, both % BUCKETS, count, (names >> np.uint64(64 - LANGS.bit_length() + 1)).astype(np.int64)
+
+
+def key(column: str):
+    """A document's id as a number, for ids of any type."""
+    return F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))
 
 
 def targets(labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ids of labelled documents, and whether each is target; an id with any bad label isn't."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
+    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
+    one = labels.where("doc_id is not null and quality is not null").select(key("doc_id").alias("id"), good.alias("good")).groupBy("id").agg(F.min("good").alias("good"))
     if one.count() > most:
-        one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        one = one.orderBy("id").limit(most)
     table = one.toArrow()
-    ids, good = np.asarray(table.column("doc_id"), dtype=np.int64), np.asarray(table.column("good")).astype(bool)
+    ids, good = np.asarray(table.column("id"), dtype=np.int64), np.asarray(table.column("good")).astype(bool)
     order = np.argsort(ids)
     return ids[order], good[order]
 
 
-def count(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that have each bucket, in the target and in all."""
+def among(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each id is among some ascending ones."""
+    if not len(some):
+        return np.zeros(len(ids), bool)
+    return some[np.minimum(np.searchsorted(some, ids), len(some) - 1)] == ids
+
+
+@dataclass
+class Counts:
+    """Of each bucket: occurrences in the target and in all text, documents that have it in both; likewise by language slot."""
+
+    target: np.ndarray
+    raw: np.ndarray
+    target_docs: np.ndarray
+    raw_docs: np.ndarray
+    lang_target: np.ndarray
+    lang_raw: np.ndarray
+    lang_target_docs: np.ndarray
+    lang_raw_docs: np.ndarray
+
+    def weights(self, rows: np.ndarray, of: np.ndarray, count: np.ndarray, lang: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log weights of documents by their n-grams; ``own`` marks documents of the target."""
+        n, half = len(lang), BUCKETS // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = (self.lang_target / self.lang_raw)[lang][rows]
+            docs = (self.lang_target_docs / self.lang_raw_docs)[lang][rows]
+        known = share > 0
+        rows, of, count, share, docs = rows[known], of[known], count[known], share[known], docs[known]
+        mine = own[rows]
+        ratio = np.log((self.target[of] - count * mine + PRIOR * share) / ((self.raw[of] - count) * share + PRIOR * share))
+        inside, all_ = self.target_docs[of] - mine, self.raw_docs[of] - 1
+        gain = likelihood(inside, all_, np.clip(docs, 1e-9, 1 - 1e-9))
+        odds = np.array([np.log(max((self.raw_docs[:half] > 0).sum() / INFORMATIVE, 1.0)), np.log(max((self.raw_docs[half:] > 0).sum() / INFORMATIVE, 1.0))])
+        p = 1 / (1 + np.exp(np.minimum(odds[(of >= half).astype(int)] - gain, 700)))
+        return np.bincount(rows, count * ratio * p, n).round(9) + 0.0
+
+
+def likelihood(a: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of a out of m documents in the target, of their own share against the share s."""
+    b = m - a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(a > 0, a * np.log(a / (m * s)), 0.0) + np.where(b > 0, b * np.log(b / (m * (1 - s))), 0.0)
+
+
+SIZES = [BUCKETS] * 4 + [LANGS] * 4
+
+
+def count(docs: DataFrame, good: np.ndarray) -> Counts:
+    """The counts of all documents, added up by slices of the buckets; a task sends a few megabytes, whatever it read."""
     shared = docs.sparkSession.sparkContext.broadcast(good)
+    cuts = [np.linspace(0, n, SLICES + 1).astype(int) for n in SIZES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for part in chunks(batch):
-                of, rows = buckets(part.column("text"))
-                ids = np.asarray(part.column("doc_id").fill_null(-(1 << 62)), dtype=np.int64)
-                raw += np.bincount(of, minlength=BUCKETS)
-                target += np.bincount(of[np.isin(ids, shared.value)[rows]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])], ["bucket", "target", "raw"])
-
-    table = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = np.asarray(table.column("bucket"))
-    target[at], raw[at] = np.asarray(table.column("target")), np.asarray(table.column("raw"))
-    return target, raw
-
-
-def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Centred, shrunk log ratio of the target's to the raw text's probability of each bucket."""
-    if not target.sum():
-        return np.zeros(len(raw))
-    expected = raw * (target.sum() / raw.sum())
-    log = np.log((target + SHRINK) / (expected + SHRINK))
-    log[np.abs(target - expected) < SIGMA * np.sqrt(expected + 1)] = 0
-    return log - (log * target).sum() / target.sum()
-
-
-def weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``docs`` with __weight, the log importance weight."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+        sums = [np.zeros(n, np.int64) for n in SIZES]
+        for b in batches:
+            for part in chunks(b):
+                rows, of, n, lang = buckets(part.column("text"), part.column("lang"))
+                mine = among(np.asarray(part.column("id").fill_null(NO_ID), dtype=np.int64), shared.value)
+                size = np.bincount(rows, n, len(lang)).astype(np.int64)
+                at = mine[rows]
+                for i, (where, amount, most) in enumerate(((of[at], n[at], BUCKETS), (of, n, BUCKETS), (of[at], None, BUCKETS), (of, None, BUCKETS), (lang[mine], size[mine], LANGS), (lang, size, LANGS), (lang[mine], None, LANGS), (lang, None, LANGS))):
+                    sums[i] += np.bincount(where, amount, most).astype(np.int64)
+        if sums[7].any():
+            for i in range(SLICES):
+                parts = [x[c[i] : c[i + 1]] for x, c in zip(sums, cuts)]
+                yield batch([(i, 0, 0, pack(*(x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x for x in parts)))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, which = None, 0
+        for b in batches:
+            for which, payload in zip(b.column("part").to_pylist(), b.column("payload")):
+                got = [x.astype(np.int64) for x in unpack(payload.as_buffer())]
+                sums = got if sums is None else [x + y for x, y in zip(sums, got)]
+        if sums is not None:
+            yield batch([(which, 0, 0, pack(*sums))])
+
+    some = docs.select(key("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    rows = some.mapInArrow(run, SENT).repartitionById(SLICES, "part").mapInArrow(add, SENT).select("part", "payload").collect()  # SLICES rows of a fixed size
+    out = [np.zeros(n) for n in SIZES]
+    for r in rows:
+        for x, c, got in zip(out, cuts, unpack(r["payload"])):
+            x[c[r["part"]] : c[r["part"] + 1]] = got
+    return Counts(*out)
+
+
+def weighed(docs: DataFrame, counts: Counts, good: np.ndarray) -> DataFrame:
+    """``docs`` (doc_id, lang, text and others) with __weight, the log importance weight."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, good))
+    docs = docs.withColumn("__key", key("doc_id"))
     schema = docs.withColumn("__weight", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                of, rows = buckets(part.column("text"))
-                total = np.bincount(rows, shared.value[of], part.num_rows).round(9)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total + 0.0)], [*part.schema.names, "__weight"])
+        for b in batches:
+            for part in chunks(b):
+                own = among(np.asarray(part.column("__key").fill_null(NO_ID), dtype=np.int64), shared.value[1])
+                total = shared.value[0].weights(*buckets(part.column("text"), part.column("lang")), own)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -151,42 +236,42 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
             return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int | None, most: int, seed: str) -> tuple[DataFrame, np.ndarray, float]:
-    """(doc_id, weight, key) of all documents, the log ratios, and the least key that is kept."""
+def fit(docs: DataFrame, labels: DataFrame, k: int | None, most: int, seed: str) -> tuple[DataFrame, tuple[Counts, np.ndarray], float]:
+    """(doc_id, weight, key) of all documents, the model, and the least key that is kept."""
     ids, good = targets(labels, most)
     held = mix(ids.view(np.uint64)) % np.uint64(HELD) == 0
-    ratio = ratios(*count(docs, ids[good & ~held]))
-    rows = weighed(docs.select("doc_id", "text"), ratio).select("doc_id", F.col("__weight").alias("weight"))
+    target = ids[good & ~held]
+    model = count(docs, target), target
+    rows = weighed(docs.select("doc_id", "lang", "text"), *model).select("doc_id", F.col("__key").alias("id"), F.col("__weight").alias("weight"))
     rows = written(rows.withColumn("key", F.col("weight") + noise(seed)), "weights")
     if k is None:
         known = docs.sparkSession.sparkContext.broadcast((ids[held], good[held]))
 
         def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for b in batches:
                 at, want = known.value
-                doc = np.asarray(batch.column("doc_id").fill_null(-(1 << 62)), dtype=np.int64)
+                doc = np.asarray(b.column("id").fill_null(NO_ID), dtype=np.int64)
                 if len(at):
-                    i = np.minimum(np.searchsorted(at, doc), len(at) - 1)
-                    hit = at[i] == doc
-                    yield pa.RecordBatch.from_arrays([batch.column("weight").filter(pa.array(hit)), pa.array(want[i][hit])], ["weight", "good"])
+                    hit = among(doc, at)
+                    yield pa.RecordBatch.from_arrays([b.column("weight").filter(pa.array(hit)), pa.array(want[np.searchsorted(at, doc[hit])])], ["weight", "good"])
 
-        sample = rows.select(F.col("doc_id").cast("long"), "weight").mapInArrow(labelled, "weight double, good boolean").toArrow()
+        sample = rows.select("id", "weight").mapInArrow(labelled, "weight double, good boolean").toArrow()
         limit = best_threshold(np.asarray(sample.column("weight"), dtype=float), np.asarray(sample.column("good")).astype(bool)) if sample.num_rows else -np.inf
         k = rows.where(F.col("weight") >= F.lit(limit)).count()
-    return rows, ratio, kth_largest(rows, "key", k)
+    return rows, model, kth_largest(rows, "key", k)
 
 
 def score(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = MAX_LABELS, seed: str = SEED) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, keep) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, log_weight, gumbel_key, keep) for every row of ``docs`` (doc_id, lang, text)."""
     rows, _, least = fit(docs, labels, k, most, seed)
     return rows.select("doc_id", F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"), (F.col("key") >= F.lit(float(least))).alias("keep"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, most: int = MAX_LABELS, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` that the sample takes, with all their columns."""
-    _, ratio, least = fit(docs, labels, k, most, seed)
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    rows = weighed(packed, ratio).where(F.col("__weight") + noise(seed) >= F.lit(float(least)))
+    _, model, least = fit(docs, labels, k, most, seed)
+    packed = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = weighed(packed, *model).where(F.col("__weight") + noise(seed) >= F.lit(float(least)))
     return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 

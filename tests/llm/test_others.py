@@ -1,9 +1,12 @@
+import math
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spillway.llm import common, html_text, importance, licenses, token_counts, url_rules
 
@@ -94,11 +97,74 @@ def test_toxic_goes_and_clean_stays(spark):
     assert importance.score(df, lb, k=100).where("keep").count() == 100
 
 
+def brute_weights(docs, target):
+    """Log weights by dictionaries: docs are (id, text, lang), target is a set of ids. N-grams of one bucket are one."""
+    grams, langs, half = {}, {}, importance.BUCKETS // 2
+
+    def bucket(text, lang):
+        return max(importance.buckets(pa.array([text]), pa.array([lang]))[1].tolist())
+
+    for i, t, lang in docs:
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+        grams[i] = Counter([bucket(x, lang) for x in w + re.findall(r"[^\s0-9A-Za-z\x80-\U0010ffff]+", t)] + [bucket(f"{a} {b}", lang) for a, b in zip(w, w[1:])])
+        langs[i] = lang
+    every = {g for c in grams.values() for g in c}
+    order = [math.log(max(sum((g >= half) == n for g in every) / importance.INFORMATIVE, 1.0)) for n in (0, 1)]
+    out = {}
+    for i, c in grams.items():
+        same = [j for j in grams if langs[j] == langs[i]]
+        inner = [j for j in same if j in target]
+        if not sum(sum(grams[j].values()) for j in inner):
+            out[i] = 0.0
+            continue
+        s = sum(sum(grams[j].values()) for j in inner) / sum(sum(grams[j].values()) for j in same)
+        q = len(inner) / len(same)
+        total, others = 0.0, [j for j in grams if j != i]
+        for g, n in c.items():
+            t, r = sum(grams[j][g] for j in others if j in target), sum(grams[j][g] for j in others)
+            a, m = sum(g in grams[j] for j in others if j in target), sum(g in grams[j] for j in others)
+            gain = (a * math.log(a / (m * q)) if a else 0) + ((m - a) * math.log((m - a) / (m * (1 - q))) if m - a else 0)
+            total += n * math.log((t + importance.PRIOR * s) / (r * s + importance.PRIOR * s)) / (1 + math.exp(order[g >= half] - gain))
+        out[i] = total
+    return out
+
+
+def test_weights_against_brute_force(spark):
+    docs = [(i, prose(i, 40) + (" !! scum" if i % 5 == 0 else " ."), "de" if i % 3 else "en") for i in range(60)] + [(90, "", "en"), (91, "only other words", "xx")]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    ids, good = importance.targets(labels, 100)
+    held = importance.mix(ids.view(np.uint64)) % np.uint64(importance.HELD) == 0
+    number = {r[0]: r[1] for r in make(spark, docs).select("doc_id", importance.key("doc_id")).collect()}
+    want = brute_weights(docs, {i for i in number if number[i] in set(ids[good & ~held].tolist())})
+    got = {r.doc_id: r.log_weight for r in importance.score(make(spark, docs), labels).collect()}
+    assert got.keys() == want.keys() and any(want.values())
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_ties_in_keys_stay_together(spark):
+    docs = make(spark, [(i // 3, prose(i // 3, 30)) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    for k in (1, 10, 30):
+        kept = importance.score(docs, labels, k=k).groupBy("doc_id").agg({"keep": "count", "gumbel_key": "min"}).count()
+        rows = importance.score(docs, labels, k=k).where("keep").groupBy("doc_id").count().collect()
+        assert kept == 20 and all(r["count"] == 3 for r in rows) and len(rows) == -(-k // 3)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_toxic_documents_go_in_a_small_table(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = importance.score(docs, labels).join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {(r.quality, r.toxic): r.kept for r in rows}
+    assert kept[1, 0] >= 0.96 and kept[1, 1] <= 0.4 and kept[0, 0] <= 0.4
+
+
 def test_importance_edges(spark, edge):
     labels = spark.createDataFrame([(6, 1, 0), (5, 0, 0), (None, 1, 0), (8, None, None)], "doc_id bigint, quality int, toxic int")
     assert importance.score(edge, labels).count() == edge.count()
     assert importance.keep(edge, labels.limit(0)).count() == edge.count()
     assert importance.keep(edge, labels).columns == edge.columns
+    named = edge.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", "lang")
+    assert importance.score(named, labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "quality", "toxic")).count() == edge.count()
     assert importance.score(edge.limit(0), labels).count() == 0 and importance.keep(edge.limit(0), labels).count() == 0
 
 
