@@ -160,10 +160,13 @@ def decoder_postgres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare(decoded(_lines(spark, sf_dir, line), "postgres"))
 
 
-@query("SELECT strftime(ts, '%Y/%m/%d %H:%M:%S') AS time, 'error' AS level, user_id::VARCHAR AS pid, '7' AS tid, event_id::VARCHAR AS cid, 'failed ' || event_type AS message, '10.0.0.1' AS client, NULL::VARCHAR AS server, 'GET /' AS request, NULL::VARCHAR AS upstream, 'h' AS host, NULL::VARCHAR AS referrer FROM events")
+@query("SELECT strftime(ts, '%Y/%m/%d %H:%M:%S') AS time, 'error' AS level, user_id::VARCHAR AS pid, '7' AS tid, event_id::VARCHAR AS cid, 'failed ' || event_type AS message, '10.0.0.1' AS client, NULL::VARCHAR AS server, 'GET /' AS request, NULL::VARCHAR AS upstream, 'h' AS host, NULL::VARCHAR AS referrer, CASE WHEN event_id % 3 = 0 THEN 'client=10.0.0.1,host=h,kind=' || event_type || ',request=GET /' ELSE 'client=10.0.0.1,host=h,request=GET /' END AS custom FROM events")
 def decoder_nginx_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" [error] "), F.col("user_id").cast("string"), F.lit("#7: *"), F.col("event_id").cast("string"), F.lit(" failed "), "event_type", F.lit(', client: 10.0.0.1, request: "GET /", host: "h"\n'))
-    return bare(decoded(_lines(spark, sf_dir, line), "nginx_error", params={"nginx_with_custom_fields": True}))
+    more = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', kind: "'), "event_type", F.lit('", client: 10.0.0.1'))).otherwise("")
+    line = F.concat(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit(" [error] "), F.col("user_id").cast("string"), F.lit("#7: *"), F.col("event_id").cast("string"), F.lit(" failed "), "event_type", F.lit(', client: 10.0.0.1, request: "GET /", host: "h"'), more, F.lit("\n"))
+    df = bare(decoded(_lines(spark, sf_dir, line), "nginx_error", params={"nginx_with_custom_fields": True}))
+    entries = F.transform(F.array_sort(F.map_entries("custom_fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return df.withColumn("custom", F.array_join(entries, ",")).drop("custom_fields")
 
 
 @query("SELECT (user_id % 192)::VARCHAR AS priority, (user_id % 192 // 8)::VARCHAR AS facility, ['EMERG','ALERT','CRIT','ERROR','WARN','NOTICE','INFO','DEBUG'][user_id % 8 + 1] AS severity, strftime(ts, '%b %d %H:%M:%S') AS timestamp, 'box' AS hostname, event_type AS app_name, event_id::VARCHAR AS process_id, props AS message FROM events")
