@@ -46,14 +46,19 @@ def unpack(blob) -> list[np.ndarray]:
     return out
 
 
+_STEP = np.uint64((1 << 32) - 1)
+
+
 def gaps(keys: np.ndarray) -> np.ndarray:
-    """Ascending keys as differences: 32-bit where all fit, else the keys themselves."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    if len(d) > 1 and int(d[1:].max()) >= 1 << 32:
+    """Ascending keys as 32-bit differences, as the bytes of the numbers; the greatest number adds to the next. Few far keys are sent as they are."""
+    d = np.diff(keys)
+    more = d // _STEP
+    if int(more.sum()) > len(keys) or not len(keys):
         return keys
-    # the first key takes two numbers
+    out = np.full(int(more.sum()) + len(d), _STEP, np.uint64)
+    out[np.cumsum(more + np.uint64(1), dtype=np.int64) - 1] = d % _STEP
     first = keys[:1]
-    return np.concatenate([(first >> np.uint64(32)), first & np.uint64(0xFFFFFFFF), d[1:]]).astype(np.uint32).view(np.uint8)
+    return np.concatenate([first >> np.uint64(32), first & _STEP, out]).astype(np.uint32).view(np.uint8)
 
 
 def ungap(x: np.ndarray) -> np.ndarray:
@@ -62,8 +67,8 @@ def ungap(x: np.ndarray) -> np.ndarray:
     d = np.frombuffer(x.tobytes(), np.uint32).astype(np.uint64)
     if not len(d):
         return d
-    d[1] |= d[0] << np.uint64(32)
-    return np.cumsum(d[1:], dtype=np.uint64)
+    first = (d[0] << np.uint64(32)) | d[1]
+    return np.append(first, first + np.cumsum(d[2:], dtype=np.uint64)[d[2:] < _STEP])
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

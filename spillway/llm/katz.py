@@ -39,17 +39,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, mix, pair, read, words, written
-from .exchange import SENT, addressed, answered, batch, gaps, pack, part_of, runs, ungap, unpack
+from .exchange import SENT, addressed, answered, batch, gaps, pack, runs, ungap, unpack
 
 K = 5
 CUT = 2
-UNIT = 1_000_000  # tokens of a unit
-PART = 1_500_000  # tokens for each partition of keys
+UNIT = 750_000  # tokens of a unit
+PART = 1_250_000  # tokens for each partition of keys
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 _SINGLE = np.uint64(0x9E3779B97F4A7C15)
 ONE, TWO, THREE, OWN, STATS = 1, 2, 3, 0, 9
@@ -95,9 +96,13 @@ def units(docs: DataFrame, size: int = UNIT) -> DataFrame:
 
     def flush(number: int, held: list[tuple]) -> pa.RecordBatch:
         word, length = (np.concatenate(x) for x in list(zip(*held))[:2])
-        vocabulary, code = np.unique(word, return_inverse=True)
+        vocabulary, code, count = np.unique(word, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")  # frequent words have small numbers, whose bytes pack well
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
         ids = pa.concat_arrays([h[2] for h in held])
-        payload = pack(vocabulary, (code & 0xFFFF).astype(np.uint16), (code >> 16).astype(np.uint32), length.astype(np.uint32))
+        planes = rank[code].astype("<u4").view(np.uint8).reshape(-1, 4).T
+        payload = zstandard.ZstdCompressor(level=1).compress(pack(vocabulary[order], *(np.ascontiguousarray(x) for x in planes), length.astype(np.uint32)))
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(word)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([payload], pa.binary())], ["unit", "n", "ids", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +127,8 @@ class Events:
     Keys of the n-grams by number of words, the places of those with a history of two, and each event's document."""
 
     def __init__(self, payload):
-        vocabulary, low, high, length = unpack(payload)
-        word = vocabulary[low.astype(np.int64) | (high.astype(np.int64) << 16)]
+        vocabulary, *planes, length = unpack(zstandard.ZstdDecompressor().decompress(payload))
+        word = vocabulary[np.stack(planes, 1).view("<u4").ravel()]
         self.length = length.astype(np.int64)
         some = self.length[self.length > 0]
         seq = np.empty(len(word) + 2 * len(some), np.uint64)
@@ -336,8 +341,9 @@ def train(tokens: DataFrame, part: int = PART) -> Model:
     return Model(counts, weights, parts, d, events, unknown, answers)
 
 
-def score(tokens: DataFrame, model: Model, answers: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, perplexity) of every document of the units ``tokens``; ``answers`` are those of the model if these units trained it."""
+def score(tokens: DataFrame, model: Model, answers: DataFrame | None = None, spent: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, perplexity) of every document of the units ``tokens``; ``answers`` are those of the model if
+    these units trained it. ``spent`` deletes the units and the model's counts as soon as they aren't needed."""
     parts, d, unknown, events = model.parts, model.discount, model.unknown, model.tokens
     if answers is None:
         answers = written(answered(asked(tokens, parts, False).unionByName(model.counts), parts, looked_up), "katz-answers")
@@ -393,9 +399,13 @@ def score(tokens: DataFrame, model: Model, answers: DataFrame | None = None) ->
             total[doc] += value
         return pa.table({"unit": [table.column("unit")[0].as_py()], "n_tokens": pa.array([length.astype(np.int64)], pa.list_(pa.int64())), "log_prob": pa.array([total], pa.list_(pa.float64()))})
 
-    sums = answered(with_tokens(answers, tokens).applyInArrow(decide, SENT).unionByName(model.weights), parts, weigh)
+    ids = written(tokens.select("unit", "ids"), "katz-ids")
+    asks = written(with_tokens(answers, tokens).applyInArrow(decide, SENT), "katz-asks")
+    if spent:
+        discard(tokens, answers)
+    sums = answered(asks.unionByName(model.weights), parts, weigh)
     rows = sums.groupBy("unit").applyInArrow(finish, "unit long, n_tokens array<long>, log_prob array<double>")
-    rows = rows.join(tokens.select("unit", "ids"), "unit").select(F.explode(F.arrays_zip("ids", "n_tokens", "log_prob")).alias("x"))
+    rows = rows.join(ids, "unit").select(F.explode(F.arrays_zip("ids", "n_tokens", "log_prob")).alias("x"))
     rows = rows.select(F.col("x.ids").alias("doc_id"), F.col("x.n_tokens").alias("n_tokens"), F.col("x.log_prob").alias("log_prob"))
     return rows.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / (F.col("n_tokens") + 1))))
 
@@ -404,4 +414,4 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under the model of all documents."""
     tokens = units(read(spark, sf_dir, "documents"))
     model = train(tokens)
-    return score(tokens, model, model.answers)
+    return score(tokens, model, model.answers, spent=True)
