@@ -5,7 +5,10 @@ the source's tokens in that order are cut into blocks of BLOCK tokens; a documen
 to the block in which it begins, so a long one leaves the next blocks empty and
 token shares stay right. Slot i takes the golden-ratio point i * phi mod 1, mapped
 through the cumulative weights to a source; the r-th slot of a source takes its block r.
-There are as many slots as the scarcest source allows, so nothing is repeated.
+Nothing is repeated. A source that is used up either ends the schedule (``exhausted="stop"``: the weights hold to the last slot)
+or leaves it (``"leave"``: the others go on with their weights among themselves, in a round of its own, until every block is
+used; the shares hold in each round). A round has some slots more than its scarcest source has blocks, as the
+points are only nearly even; such slots stay empty.
 
 Weights default to the root of each source's tokens (temperature 2), as whole numbers, so that
 every engine computes the same schedule. Tokens are words between white space.
@@ -15,12 +18,12 @@ a range), and likewise ranks of slots in chunks, so no task holds a whole
 source, however large.
 
 Defined cases. A null source is the source ""; a source without weight or
-with weight 0 is left out; a weighted source that has no document is ignored. A null
+with weight 0 is left out, whatever ``exhausted``; a weighted source that has no document is ignored. A null
 or empty text has no tokens and begins in the block that is open. A null doc_id
 is placed like "". Repeated rows lie next to each other; in ``mixed`` rows of equal source
 and doc_id share the place of the first. Empty tables give an empty result. Other
-columns are passed through by ``mixed`` (which replaces columns named slot, block or block_place) and
-ignored by ``schedule``.
+columns are passed through by ``mixed``, whatever their names (which replaces columns named slot, block or block_place), and
+ignored by ``schedule``. doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ PHI = 2654435769  # 2**32 / golden ratio
 RANGE = 3  # hex digits of the hash that name a range
 FEW = 2_000_000  # places that are broadcast (128 MB)
 SLOTS = 1 << 16  # slots of a chunk
+LOCAL = 1 << 24  # slots that the driver counts itself
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
 
@@ -85,20 +89,65 @@ def placed(rows: DataFrame, block: int, seed: str) -> DataFrame:
     return rows.withColumn("__block", F.floor(F.col("__start") / F.lit(block)).cast("long"))
 
 
-def slots(spark: SparkSession, sources: list[tuple[str, int, int]]) -> DataFrame:
-    """(slot, __source, __block): sources are (name, weight, blocks)."""
-    sources = sorted(s for s in sources if s[1] > 0 and s[2] > 0)
+def drawn(slot, sources: list[tuple[str, int, int]]):
+    """The source of a slot of a round."""
     total = sum(w for _, w, _ in sources)
-    n = min((b * total // w for _, w, b in sources), default=0)
-    point = (F.col("slot") % F.lit(1 << 31)) * F.lit(PHI) % F.lit(1 << 32)
+    point = (slot % F.lit(1 << 31)) * F.lit(PHI) % F.lit(1 << 32)
     name, cum = None, 0
     for s, w, _ in sources:
         cum += w
         bound = point < F.lit((cum << 32) // total)
         name = F.when(bound, F.lit(s)) if name is None else name.when(bound, F.lit(s))
-    rows = spark.range(n).select(F.col("id").alias("slot"))
-    rows = rows.select("slot", (name if name is not None else F.lit("")).alias("__source"), F.floor(F.col("slot") / F.lit(SLOTS)).alias("__chunk"))
-    return running(rows, "__source", "__chunk", ["slot"], F.lit(1), "__block").select("slot", "__source", F.col("__block").cast("long").alias("__block"))
+    return name
+
+
+def taken(spark: SparkSession, n: int, sources: list[tuple[str, int, int]]) -> dict[str, int]:
+    """How many of the first n slots of a round each source has: by numpy while they are few, else by Spark, alike."""
+    if n > LOCAL:
+        return {r[0]: r[1] for r in spark.range(n).select(drawn(F.col("id"), sources).alias("s")).groupBy("s").count().collect()}
+    total = sum(w for _, w, _ in sources)
+    point = (np.arange(n, dtype=np.uint64) % np.uint64(1 << 31)) * np.uint64(PHI) % np.uint64(1 << 32)
+    bounds = [(c << 32) // total for c in np.cumsum([w for _, w, _ in sources], dtype=object).tolist()]
+    found = np.bincount(np.searchsorted(np.array(bounds, np.uint64), point, "right"), minlength=len(sources))
+    return {s: int(c) for (s, _, _), c in zip(sources, found)}
+
+
+def rounds(spark: SparkSession, sources: list[tuple[str, int, int]], exhausted: str) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
+    """(first slot, slots, sources) of each round; sources are (name, weight, first block)."""
+    left = {s: b for s, w, b in sorted(sources) if w > 0 and b > 0}
+    weight, first, base, out = {s: w for s, w, _ in sources}, dict.fromkeys(left, 0), 0, []
+    while left:
+        live = [(s, weight[s], first[s]) for s in sorted(left)]
+        total = sum(w for _, w, _ in live)
+        if exhausted == "stop":
+            return [(0, min(left[s] * total // w for s, w, _ in live), live)]
+        n = min(-(-(b + 3) * total // weight[s]) for s, b in left.items())
+        out.append((base, n, live))
+        base += n
+        for s, c in taken(spark, n, live).items():
+            first[s] += c
+            left[s] -= c
+            if left[s] <= 0:
+                del left[s]
+    return out
+
+
+def slots(spark: SparkSession, sources: list[tuple[str, int, int]], exhausted: str = "stop") -> DataFrame:
+    """(slot, __source, __block): sources are (name, weight, blocks)."""
+    plan = rounds(spark, sources, exhausted)
+    rows = spark.range(sum(n for _, n, _ in plan)).select(F.col("id").alias("slot"))
+    name, turn, first = F.lit(""), F.lit(0), F.lit(0)
+    for i, (base, _, live) in enumerate(plan):
+        here = F.col("slot") >= F.lit(base)
+        name, turn = F.when(here, drawn(F.col("slot") - F.lit(base), live)).otherwise(name), F.when(here, F.lit(i)).otherwise(turn)
+        offset = F.lit(0)
+        for s, _, f in live:
+            if f:
+                offset = F.when(F.col("__source") == s, F.lit(f)).otherwise(offset)
+        first = F.when(here, offset).otherwise(first)
+    rows = rows.select("slot", name.alias("__source"), turn.alias("__turn"), F.floor(F.col("slot") / F.lit(SLOTS)).alias("__chunk"))
+    rows = running(rows.withColumn("__key", F.concat_ws("|", "__turn", "__source")), "__key", "__chunk", ["slot"], F.lit(1), "__block")
+    return rows.select("slot", "__source", (F.col("__block") + first).cast("long").alias("__block"))
 
 
 def totals(rows: DataFrame, block: int, weights: dict[str, float] | None) -> list[tuple[str, int, int]]:
@@ -108,33 +157,33 @@ def totals(rows: DataFrame, block: int, weights: dict[str, float] | None) -> lis
     return [(r["__source"], weight(r["__source"], r["n"]), -(-r["n"] // block)) for r in sums]
 
 
-def planned(docs: DataFrame, weights: dict[str, float] | None, block: int, seed: str) -> DataFrame:
+def planned(docs: DataFrame, weights: dict[str, float] | None, block: int, seed: str, exhausted: str) -> DataFrame:
     """(slot, __source, __block, __start, doc_id, __tokens) of the scheduled rows; texts are read once and stay where they are."""
     rows = counted(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("__source"), "text")).drop("text")
     rows = written(rows, "token-counts")
-    plan = slots(docs.sparkSession, totals(rows, block, weights))
+    plan = slots(docs.sparkSession, totals(rows, block, weights), exhausted)
     return placed(rows, block, seed).join(plan, ["__source", "__block"])
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED, exhausted: str = "stop") -> DataFrame:
     """(slot, source, block, doc_id, n_tokens): the documents of each slot of the schedule."""
-    rows = planned(docs, weights, block, seed)
+    rows = planned(docs, weights, block, seed, exhausted)
     return rows.select("slot", F.col("__source").alias("source"), F.col("__block").alias("block"), "doc_id", F.col("__tokens").alias("n_tokens"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: str = SEED, exhausted: str = "stop") -> DataFrame:
     """The scheduled rows of ``docs`` with all their columns, and slot, block and block_place (tokens before it in its block).
 
     The places join the texts by source and doc_id: broadcast while they are FEW rows at most, else one shuffle."""
-    identity = [F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
-    rows = planned(docs, weights, block, seed)
+    rows = planned(docs, weights, block, seed, exhausted)
     first = F.min(F.struct("slot", F.col("__block").alias("block"), (F.col("__start") - F.col("__block") * block).alias("block_place"))).alias("__place")
     places = written(rows.groupBy("__source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")).agg(first), "places")
     if places.count() <= FEW:
         places = F.broadcast(places)
     kept = [c for c in docs.columns if c.lower() not in ("slot", "block", "block_place")]
-    full = docs.join(places, (identity[0] == places["__source"]) & (identity[1] == places["__id"]))
-    return full.select(*[docs[c] for c in kept], *[F.col("__place")[c].alias(c) for c in ("slot", "block", "block_place")])
+    packed = docs.select(F.coalesce("source", F.lit("")).alias("__source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"))
+    full = packed.join(places, ["__source", "__id"])
+    return full.select(*[F.col("__row")[c].alias(c) for c in kept], *[F.col("__place")[c].alias(c) for c in ("slot", "block", "block_place")])
 
 
 ORACLE = f"""

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 
 from spillway.llm import mixing
 
@@ -56,3 +57,34 @@ def test_mixed_keeps_scheduled_rows(spark):
     a = {(r.doc_id, r.slot) for r in mixing.schedule(docs).collect()}
     b = {(r.doc_id, r.slot) for r in mixing.mixed(docs).collect()}
     assert a == b and a
+
+
+@pytest.mark.parametrize("local", [1 << 24, 10])
+def test_sources_that_are_used_up_leave(spark, monkeypatch, local):
+    monkeypatch.setattr(mixing, "LOCAL", local)
+    sizes = {"a": 300, "b": 40, "c": 4, "d": 1}
+    docs = make(spark, [(i, prose(i, 40), "en", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))])
+    weights, block = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, 80
+    out = mixing.schedule(docs, weights, block=block, exhausted="leave").toPandas()
+    assert sorted(out.doc_id) == list(range(sum(sizes.values())))
+    mixed = mixing.mixed(docs, weights, block=block, exhausted="leave").toPandas()
+    assert sorted(mixed.doc_id) == sorted(out.doc_id) and set(zip(out.doc_id, out.slot)) == set(zip(mixed.doc_id, mixed.slot))
+    used = out.drop_duplicates("slot").sort_values("slot")
+    live, at = dict(weights), 0
+    while live:  # the shares hold among those that are left, until one of them is used up
+        end = min(used[used.source == s].slot.max() for s in live)
+        part = used[(used.slot >= at) & (used.slot <= end)]
+        total = sum(live.values())
+        for s, w in live.items():
+            assert abs((part.source == s).sum() - len(part) * w / total) <= 4
+        live = {s: w for s, w in live.items() if used[used.source == s].slot.max() > end}
+        at = end + 1
+    assert mixing.schedule(docs, {"a": 1.0}, exhausted="leave").count() == 300 and mixing.schedule(docs.limit(0), exhausted="leave").count() == 0
+
+
+def test_one_small_source_among_many(spark):
+    docs = make(spark, [(i, prose(i, 60), "en", "tiny" if i == 0 else f"s{i % 5}") for i in range(400)])
+    assert mixing.schedule(docs, block=100, exhausted="leave").count() == 400
+    named = docs.selectExpr("concat('d', doc_id) as doc_id", "text", "source", "1 as `__place`", "2 as `doc.x`")
+    out = mixing.mixed(named, block=100, exhausted="leave")
+    assert out.columns == [*named.columns, "slot", "block", "block_place"] and out.count() == 400
