@@ -1,7 +1,8 @@
 """Operator 3, benchmark decontamination: q-gram lemma filter and banded alignment.
 
 Texts and benchmark items are normalised alike: lower case, words joined by one
-space, as UTF-8 bytes. An item of m bytes has an edit budget of k = RATE * m. If a
+space, as UTF-8 bytes. An item of m bytes has an edit budget of k = RATE * m, or less if it is short: (m - q) / q at most, so that the
+bound below stays positive (with q = 12 and 6 % this concerns items of fewer than some 40 bytes). If a
 text holds it within k edits, they share at least m - q + 1 - k * q of the item's q-grams
 (the q-gram lemma), on diagonals that lie within k of each other. So the q-grams that a text shares
 with an item are counted in diagonal bands that overlap by more than 2k, only
@@ -15,8 +16,8 @@ Defined cases. A null or empty text matches nothing; neither does an item that i
 or has no word. An item of fewer than q bytes is found only without edits, as
 whole words. Repeated rows each get their rows; repeated items likewise. An item
 that occurs several times in a document is reported once, at its best place (the
-first among equals). Empty tables give an empty result. Other columns are passed through by
-``keep`` and ignored by ``find``.
+first among equals). Empty tables give an empty result. Ids may be of any type. Other columns are passed through by
+``keep``, whatever their names, and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def rolling(data: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """q-grams of the benchmark's items: sorted hashes, and for each the (item, place) that have it."""
 
-    def __init__(self, ids: list, texts: list, q: int, rate: float):
+    def __init__(self, ids: pa.Array, texts: list, q: int, rate: float):
         data, offsets = normalise(pa.array(texts, pa.string()))
         self.q, self.ids = q, ids
         self.items = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -186,7 +187,7 @@ def shards(benchmark: DataFrame, q: int, rate: float, shard: int) -> list[Index]
     for i in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
         table = part.orderBy("item_id").toArrow()
-        out.append(Index(table.column("item_id").to_pylist(), table.column("text").to_pylist(), q, rate))
+        out.append(Index(table.column("item_id").combine_chunks(), table.column("text").to_pylist(), q, rate))
     return out
 
 
@@ -204,18 +205,18 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                     found = shared.value.matches(part.column("text"))
                     ids = part.column("doc_id").take(pa.array([r for r, _, _, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([shared.value.ids[j] for _, j, _, _ in found]).cast(pa.int64()), pa.array([s for _, _, s, _ in found], pa.int64()), pa.array([e for _, _, _, e in found], pa.int32())],
+                        [ids, shared.value.ids.take(pa.array([j for _, j, _, _ in found], pa.int64())), pa.array([s for _, _, s, _ in found], pa.int64()), pa.array([e for _, _, _, e in found], pa.int32())],
                         ["doc_id", "item_id", "start", "edits"],
                     )
 
-        part = some.mapInArrow(run, f"doc_id {id_type}, item_id bigint, start bigint, edits int").withColumn("item_id", F.col("item_id").cast(item_type))
+        part = some.mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, start bigint, edits int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, shard: int = SHARD) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, with all their columns."""
-    rows = docs
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     for index in shards(benchmark, q, rate, shard):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -227,7 +228,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                     yield part.filter(pa.array(clean))
 
         rows = rows.mapInArrow(run, rows.schema)
-    return rows
+    return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ file of ranks in the tiktoken format; its path is a parameter and must be readab
 
 Defined cases. A null text has a null count, an empty one 0. Strings that name special
 tokens are ordinary text. Very long pre-tokens are encoded once like others. Repeated rows give repeated
-results. An empty table gives an empty result. Other columns are ignored.
+results. A null doc_id is passed through. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, read
+from .common import chunks, read, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -78,7 +78,7 @@ def frequent(docs: DataFrame, path: str = VOCABULARY, share: float = SHARE) -> t
                 found.update({t: n for t, n in counts.items() if n >= least and "\0" not in t})
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = written(docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
     size = rows.agg(F.sum(F.octet_length("token") + 2)).first()[0] or 0
     if size > LIMIT:  # keep the most frequent that fit; the others fall to the second tier
         rows = rows.orderBy(F.desc("n"), "token").limit(int(rows.count() * LIMIT / size))

@@ -94,3 +94,9 @@ def test_edges(spark, edge):
 def test_short_items_keep_a_bound(m):
     index = d.Index([1], [("ab " * 60)[:m]], d.Q, d.RATE)
     assert (index.bound >= 1).all()
+
+
+def test_ids_of_any_type(spark, edge):
+    bench = spark.createDataFrame([("a", "same text here again")], "item_id string, text string")
+    named = edge.selectExpr("concat('d', doc_id) as doc_id", "text")
+    assert [tuple(r)[:2] for r in d.find(named, bench).collect()] == [("d6", "a")] * 2 and d.keep(named, bench).count() == named.count() - 2
