@@ -3,6 +3,11 @@
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; a stage's result is
 written as Parquet and read again as the next one's docs. All but the last return the
 columns of documents; the last adds slot, block and block_place.
+
+Odd input, as the stages define it: quality_rules rejects null and empty texts and those of a language without any text. quality_classifier
+keeps all where no row is labelled good. ngram_jaccard_join keeps rows without a doc_id or a word, and one of equal rows.
+benchmark_decontamination keeps rows without a word. source_mixing takes a null source as "" and leaves out sources of weight 0 (such as
+one without any word). Empty tables give empty results; other columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the schedule that mixes sources to their target weights."""
-    return mixing.mixed(docs)
+    """All documents in the order of the schedule that mixes sources to their target weights; a source that is used up leaves it."""
+    return mixing.mixed(docs, exhausted="leave")
 
 
 STAGES = [
@@ -46,7 +51,7 @@ STAGES = [
     ("source_mixing", mix),
 ]
 
-ORACLE_SQL = None  # SQL can't express the models; tests hold it against a brute-force version
+ORACLE_SQL = None  # SQL can't express the models; tests/llm/test_pipeline.py holds run() against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
