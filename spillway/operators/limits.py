@@ -1,12 +1,15 @@
 """Filters with state, as window queries over the event order ``_seq``: throttle, cardinality, antispam.
 
 Windows are partitioned by the limiter's key and bucket, so a key's rows of one bucket are
-the most that a task sorts at once.
+the most that a task sorts at once. What no window can say (shares, the spam counter) is streamed through a
+state machine in the same order, from one shuffle and with constant memory (``stepped``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,56 +88,79 @@ def distribution(spec: dict | None, limit: int) -> tuple[dict[str, int], list[in
     return index, [half_up(r["ratio"] * limit) for r in ratios], half_up(rest * limit)
 
 
-def distribute(values: list[str], weights: list[int], limit: int, spec: dict | None) -> list[bool]:
-    """Which of a bucket's rows, in order, pass under shares; other values take from the emptiest share when theirs is full."""
-    if limit < 0:
-        return [True] * len(values)
-    index, shares, other = distribution(spec, limit)
-    if not shares:
-        total, out = 0, []
-        for w in weights:
-            total += w
-            out.append(total <= limit)
-        return out
-    used, own, out = [0] * len(shares), 0, []
-    for v, w in zip(values, weights):
-        i = index.get(v, -1)
+class Shares:
+    """One bucket's counters: rows pass under shares; other values take from the emptiest share when theirs is full."""
+
+    def __init__(self, limit: int, spec: dict | None):
+        self.limit = limit
+        self.index, self.shares, self.other = distribution(spec, limit)
+        self.used, self.own = [0] * len(self.shares), 0
+
+    def __call__(self, value: str, weight: int) -> bool:
+        if self.limit < 0:
+            return True
+        if not self.shares:
+            self.own += weight
+            return self.own <= self.limit
+        i = self.index.get(value, -1)
         if i < 0:
-            if own + w <= other:
-                own += w
-                out.append(True)
-                continue
-            room = [s - (u + w) for s, u in zip(shares, used)]
+            if self.own + weight <= self.other:
+                self.own += weight
+                return True
+            room = [s - (u + weight) for s, u in zip(self.shares, self.used)]
             i = max(range(len(room)), key=lambda k: (room[k], -k))
             if room[i] <= -1:
-                own += w
-                out.append(False)
-                continue
-        used[i] += w
-        out.append(used[i] <= shares[i])
-    return out
+                self.own += weight
+                return False
+        self.used[i] += weight
+        return self.used[i] <= self.shares[i]
+
+
+def distribute(values: list[str], weights: list[int], limit: int, spec: dict | None) -> list[bool]:
+    """Which of a bucket's rows, in order, pass."""
+    step = Shares(limit, spec)
+    return [step(v, w) for v, w in zip(values, weights)]
+
+
+def stepped(rows: DataFrame, keys: list[str], inputs: list[str], kept: list[str], make) -> DataFrame:
+    """The rows that the state machine of their group passes, given them one after another by _seq.
+
+    ``make`` gets the inputs of a group's first row and returns the machine. One shuffle brings groups together; a group is streamed
+    in batches and only its state is held, so a hot group needs time, not memory."""
+    columns = [F.col(f"`{c}`") for c in kept]
+    shape = rows.select(*columns)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_seq").select(*columns, *[F.col(c).alias(f"__{i}") for i, c in enumerate([*keys, *inputs])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            ok, n = [], len(kept)
+            own = [b.column(n + i).to_pylist() for i in range(len(keys) + len(inputs))]
+            for row in zip(*own):
+                key, args = row[: len(keys)], row[len(keys) :]
+                if step is None or key != last:
+                    last, step = key, make(*args)
+                ok.append(bool(step(*args)))
+            yield b.select(list(range(n))).filter(pa.array(ok, pa.bool_()))
+
+    return ordered.mapInArrow(run, shape.schema)
 
 
 def _distributed(rows: DataFrame, dists: list[dict | None], kept: list[str]) -> DataFrame:
-    """Only the decision's columns go to Python; decisions join back on _seq within the key."""
-    narrow = rows.select("__rule", "__key", "__bucket", "_seq", "__value", "__w", "__limit", "__when")
+    """Rows to which a limit with shares applies pass by the counters of their bucket."""
 
-    keys = ["__rule", "__key", "__bucket"]
+    class Bucket:
+        def __init__(self, when, rule, limit, value, weight):
+            self.shares = {}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (rule, _, _), part in pdf[pdf["__when"]].sort_values("_seq", kind="stable").groupby(keys, sort=False):
-            ok = distribute(part["__value"].tolist(), [int(x) for x in part["__w"]], int(part["__limit"].iloc[0]), dists[int(rule)])
-            if not all(ok):
-                out.append(part.loc[[not x for x in ok], [*keys, "_seq"]])
-        return pd.concat(out) if out else pdf.loc[:, [*keys, "_seq"]].head(0)
+        def __call__(self, when, rule, limit, value, weight):
+            if not when:
+                return True
+            if not self.shares:
+                self.shares[0] = Shares(int(limit), dists[int(rule)])
+            return self.shares[0](value, int(weight))
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    # a group is a hash partition of buckets, so small buckets don't cost a call each
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = narrow.groupBy(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("__p"))
-    dropped = grouped.applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "_seq"]))
-    return rows.join(dropped, [*keys, "_seq"], "left_anti").select(*[f"`{c}`" for c in kept])
+    return stepped(rows, ["__rule", "__key", "__bucket"], ["__when", "__rule", "__limit", "__value", "__w"], kept, Bucket)
 
 
 @action("cardinality")
@@ -222,8 +248,7 @@ def _bound(cond: Column, names: dict) -> Column:
 def antispam(df: DataFrame, when: Column | None = None, threshold: int = -1, interval: str = "5s", rules: list[dict] | None = None, exceptions: list[dict] | None = None, event: str = "value", source: str = "_source_id", time: str = "_time") -> DataFrame:
     """Drops the rows of sources that send ``threshold`` rows or more within an interval, until they calm down.
 
-    Counting needs a source's rows in order, one after another: a state machine for each source over
-    time and threshold alone."""
+    Counting needs a source's rows in order, one after another; rows without a source are one source, rows without a time pass."""
     if threshold < 0 and rules is None:
         return df
     every = seconds(interval)
@@ -233,18 +258,16 @@ def antispam(df: DataFrame, when: Column | None = None, threshold: int = -1, int
         if "_meta" in df.columns:
             base = base.withColumn("meta", F.col("_meta"))
     rows = base.withColumn("__limit", antispam_threshold(base, threshold, rules, exceptions, event))
-    counted = rows.where(F.col("__limit") > 0).select(F.col(source).alias("__s"), "_seq", (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("__t"), "__limit")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq", kind="stable")
-        state = Antispam(int(pdf["__limit"].iloc[0]), every)
-        bad = []
-        for t, limit in zip(pdf["__t"], pdf["__limit"]):
-            state.threshold = int(limit)
-            bad.append(state.spam(float(t)))
-        return pdf.loc[bad, ["__s", "_seq"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
-    spam = counted.groupBy("__s").applyInPandas(run, f"__s {kinds['__s']}, _seq {kinds['_seq']}")
-    out = rows.where(F.col("__limit") != 0).join(spam, (F.col(source) == spam["__s"]) & (rows["_seq"] == spam["_seq"]), "left_anti")
-    return out.select(*[f"`{c}`" for c in df.columns])
+    rows = rows.where(F.col("__limit") != 0).withColumn("__t", F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
+
+    class Source:
+        def __init__(self, limit, t):
+            self.state = Antispam(int(limit), every)
+
+        def __call__(self, limit, t):
+            if limit < 0 or t is None:
+                return True
+            self.state.threshold = int(limit)
+            return not self.state.spam(float(t))
+
+    return stepped(rows.withColumn("__s", F.col(source)), ["__s"], ["__limit", "__t"], df.columns, Source)

@@ -264,7 +264,13 @@ _throttle("throttle_size", {"default_limit": 20, "limit_kind": "size"}, "strlen(
 _throttle("throttle_rules", {"default_limit": 1, "rules": [{"limit": 0, "conditions": {"event_type": "view"}}, {"limit": -1, "conditions": {"event_type": ["error", "view"]}}]}, "1", "CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'error' THEN -1 ELSE 1 END", rule="CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'error' THEN 1 ELSE 2 END")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, floor(epoch(ts) / 86400) AS b, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY event_id) AS r FROM events),
+s AS (SELECT NULL::BIGINT AS event_id, NULL::VARCHAR AS event_type, user_id, b, 0::BIGINT AS r, 0 AS error, 0 AS seen, 0 AS other, false AS ok FROM (SELECT DISTINCT user_id, b FROM e)
+UNION ALL SELECT event_id, event_type, user_id, b, r, error + (part = 0)::INT, seen + (part = 1)::INT, other + (part IN (2, 3))::INT, CASE part WHEN 0 THEN error < 3 WHEN 1 THEN seen < 2 ELSE part = 2 END
+FROM (SELECT e.*, s.error, s.seen, s.other, CASE WHEN e.event_type = 'error' THEN 0 WHEN e.event_type IN ('click', 'view') THEN 1 WHEN s.other < 1 THEN 2
+      WHEN greatest(3 - s.error - 1, 2 - s.seen - 1) <= -1 THEN 3 WHEN 3 - s.error >= 2 - s.seen THEN 0 ELSE 1 END AS part FROM s JOIN e ON e.user_id = s.user_id AND e.b = s.b AND e.r = s.r + 1))
+SELECT event_id, event_type FROM s WHERE ok""")
 def throttle_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"type": "throttle", "throttle_field": "user_id", "time_field": "ts", "bucket_interval": "24h", "default_limit": 6, "limit_distribution": {"field": "event_type", "ratios": [{"ratio": 0.5, "values": ["error"]}, {"ratio": 0.3, "values": ["click", "view"]}]}}
     return apply(events(spark, sf_dir), spec).select(*_KEEP)
@@ -280,10 +286,16 @@ def cardinality_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cardinality_metric(table(spark, sf_dir, "events"), ["user_id"], ["event_type"])
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS now, CASE WHEN contains(props, '7') THEN 3 ELSE 5 END AS most, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE user_id <> 1),
+s AS (SELECT NULL::BIGINT AS event_id, NULL::VARCHAR AS event_type, user_id, 0::BIGINT AS r, 0::BIGINT AS c, now AS last, now AS tick, false AS spam FROM e WHERE r = 1
+UNION ALL SELECT event_id, event_type, user_id, r, CASE WHEN c = most THEN 4 * most ELSE c END, now, tick + m * 43200000000, c >= most
+FROM (SELECT *, (CASE WHEN m = 0 THEN was ELSE greatest(least(greatest(was - most, 0), 4 * most) - (m - 1) * most, 0) END + (now - last < 43200000000)::INT)::BIGINT AS c
+      FROM (SELECT e.*, s.c AS was, s.last, s.tick, greatest((e.now - s.tick) // 43200000000, 0) AS m FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)))
+SELECT event_id, event_type FROM s WHERE r > 0 AND NOT spam UNION ALL SELECT event_id, event_type FROM events WHERE user_id = 1""")
 def antispam(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumns({"_source_id": F.col("user_id"), "_time": F.col("ts").cast("timestamp"), "value": F.col("props"), "_source_name": F.concat(F.lit("user"), F.col("user_id"))})
-    rules = [{"name": "pass", "threshold": -1, "do_if": {"op": "suffix", "field": "source_name", "values": ["user1"]}}, {"name": "few", "threshold": 3, "do_if": {"op": "contains", "field": "event", "values": ["k"]}}]
+    rules = [{"name": "pass", "threshold": -1, "do_if": {"op": "suffix", "field": "source_name", "values": ["user1"]}}, {"name": "few", "threshold": 3, "do_if": {"op": "contains", "field": "event", "values": ["7"]}}]
     return apply(df, {"type": "antispam", "threshold": 5, "interval": "12h", "rules": rules}).select(*_KEEP)
 
 
