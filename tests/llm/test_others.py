@@ -254,3 +254,11 @@ def test_repeated_licenses_and_coverage_at_the_threshold(spark):
     assert got[2, "MIT"][:2] == (1.0, 2) and got[5, "MIT"][0] == 1.0
     assert got[3, "MIT-notice"] == (0.8, 0, 4) and got[7, "MIT-notice"] == (1.0, 4, 9)
     assert not any(d == 6 for d, _ in got)
+
+
+def test_every_template_is_found_whole_and_in_groups(spark):
+    docs = make(spark, [(i, prose(i, 200) + "\n" + t + "\n" + prose(i + 50, 200)) for i, (_, t) in enumerate(licenses.TEMPLATES)])
+    rows = {(r.doc_id, r.license, r.coverage) for r in licenses.scan(docs).collect()}
+    assert {(i, n, 1.0) for i, (n, _) in enumerate(licenses.TEMPLATES)} <= rows
+    assert {(r.doc_id, r.license, r.coverage) for r in licenses.scan(docs, limit=900).collect()} == rows
+    assert not [r for r in rows if r[1] == "BSD-3-Clause" and licenses.TEMPLATES[r[0]][0] == "MIT"]
