@@ -3,25 +3,29 @@
 One regular expression cuts a page into tags, comments and text. A tree builder
 closes what HTML lets one leave open (p, li, dt, dd, tr, td, th, option, thead,
 tbody, tfoot and whatever an ending parent contains), knows void elements, and takes the
-content of raw-text elements as it stands. The renderer leaves out what a browser
-doesn't show (head, script, style, template, noscript, hidden inputs, the attribute
-hidden, inline styles display:none and visibility:hidden or collapse) and emits all other text: blocks
+content of raw-text elements as it stands. Cells without a row get one, forms in a table hold nothing, and what else lies in a table but in no cell or caption is
+taken out of it and put before it, as browsers do. The renderer leaves out what a browser
+doesn't show (head, script, style, template, noscript, titles and definitions of drawings, fallbacks of media, closed dialogs, all but the
+summary of closed details, hidden inputs, the attribute hidden, display:none) and what is invisible (visibility:hidden or
+collapse, until a descendant says visible). Styles are those of the attribute style and of rules in style elements whose
+selector is made of a name, classes and an id; later rules win over earlier ones, the attribute over rules. All other text is emitted: blocks
 begin new lines, paragraphs and headings have an empty line around them, list items
-have a mark and indent, pre keeps its white space, images give their alternative text, and the cells of a table's
-columns are padded to align.
+have a mark (start, value, reversed and type count) and indent, pre and textarea keep their lines, images give their alternative text, and the cells of a table's
+columns are padded to align (by display width; colspan and rowspan count).
 
 Parsing a page needs a stack machine, so it runs in Arrow batches, one call for a
 batch; pages need no shuffle.
 
 Defined cases. A null page gives null, an empty one "". Unclosed and unknown tags,
-stray end tags, unfinished comments and tags and nesting of any depth are accepted (the tree is
-walked without recursion). Repeated rows give repeated results. Other columns are ignored.
+stray end tags, unfinished comments and tags, very long pages and nesting of any depth are accepted (the tree is
+walked without recursion, inner tables before outer ones). Repeated rows give repeated results; page_id may be null or of any type. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +39,9 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in "script style textarea title xmp iframe noembed noframes".split()}
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist audio video canvas desc defs metadata symbol".split())
+IN_TABLE = frozenset("table thead tbody tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav option optgroup search section select summary tr caption thead tbody tfoot".split())
 # a start tag of the key ends open elements of the first set, looking no further out than the second
@@ -57,14 +63,17 @@ IN_P = BLOCK - {"html", "body", "option", "optgroup", "select", "tr", "caption",
 IN_HEAD = frozenset("title base link meta style script template noscript".split())
 SCOPE = frozenset("table td th caption button html".split())
 SPACE = re.compile(r"[ \t\n\f\r]+")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][a-z0-9_-]+)*)\Z", re.I)
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "shown", "visible", "lines")
 
     def __init__(self, name: str, attributes: str = ""):
         self.name, self.attributes, self.children = name, attributes, []
+        self.shown, self.visible, self.lines = True, True, []
 
     def get(self, wanted: str) -> str | None:
         if wanted not in self.attributes.lower():
@@ -88,6 +97,28 @@ def parse(page: str) -> Node:
                 # an ended row may itself lie in one more element of the names
                 return close(names, stop)
 
+    def place(child) -> None:
+        """Appends to the open element; in a table's structure, before the table in its parent."""
+        if stack[-1].name not in IN_TABLE or (isinstance(child, str) and not child.strip()):
+            return stack[-1].children.append(child)
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name == "table":
+                around = owner[id(stack[i])].children
+                for k in range(len(around) - 1, -1, -1):
+                    if around[k] is stack[i]:
+                        return around.insert(k, child)
+        stack[-1].children.append(child)
+
+    def structure() -> None:
+        """Before a part of a table: back to the table, section or row that it lies in, unless a cell or caption is open."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in IN_TABLE:
+                del stack[i + 1 :]
+                return
+            if stack[i].name in ("td", "th", "caption"):
+                return
+
+    owner: dict[int, Node] = {}  # what holds each open table
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
@@ -95,7 +126,7 @@ def parse(page: str) -> Node:
         if token[0] != "<" or token == "<":
             if stack[-1].name == "head" and token.strip():
                 del stack[-1]
-            stack[-1].children.append(html.unescape(token) if "&" in token else token)
+            place(html.unescape(token) if "&" in token else token)
             continue
         if token[1] in "!?":
             continue
@@ -120,7 +151,28 @@ def parse(page: str) -> Node:
         if name == "a":
             close(frozenset(("a",)), SCOPE)
         node = Node(name, token[len(name) + 1 : -1])
-        stack[-1].children.append(node)
+        if name in TABLE_PARTS:
+            structure()
+            if name in CELLS and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
+                row = Node("tr")
+                stack[-1].children.append(row)
+                stack.append(row)
+            stack[-1].children.append(node)
+        elif stack[-1].name in IN_TABLE and name in ("script", "style", "template", "form"):
+            stack[-1].children.append(node)
+            if name == "form":
+                continue
+        else:
+            if name == "table":
+                for i in range(len(stack) - 1, 0, -1):  # a table in a table's structure ends it
+                    if stack[i].name in ("td", "th", "caption"):
+                        break
+                    if stack[i].name == "table" and stack[-1].name in IN_TABLE:
+                        del stack[i:]
+                        break
+            place(node)
+            if name == "table":
+                owner[id(node)] = stack[-1]
         if name in RAW:
             end = RAW[name].search(page, at)
             body = page[at : end.start() if end else size]
@@ -132,17 +184,89 @@ def parse(page: str) -> Node:
     return root
 
 
-def shown(node: Node) -> bool:
-    if node.name in UNSEEN:
-        return False
-    a = node.attributes
-    if not a:
-        return True
-    if "hidden" in a.lower() and node.get("hidden") is not None:
-        return False
-    if node.name == "input" and (node.get("type") or "").lower() == "hidden":
-        return False
-    return not ("style" in a.lower() and HIDDEN.search(node.get("style") or ""))
+def rules(root: Node) -> list[tuple[str, frozenset, str, dict[str, str]]]:
+    """(name, classes, id, styles) of the page's simple rules that hide or show."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name == "style":
+            text = re.sub(r"/\*.*?\*/", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
+            text = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})", "", text)  # rules for some media only don't count
+            for selectors, body in RULE.findall(text):
+                if styles := {k.lower(): v.lower() for k, v in STYLE.findall(body)}:
+                    for one in selectors.split(","):
+                        if (m := SELECTOR.match(one.strip())) and one.strip():
+                            parts = re.findall(r"[.#][^.#]+", m[2])
+                            out.append(((m[1] or "").lower().strip("*"), frozenset(x[1:] for x in parts if x[0] == "."), next((x[1:] for x in parts if x[0] == "#"), ""), styles))
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return out
+
+
+def annotate(root: Node) -> list[Node]:
+    """Sets which nodes are shown and visible; gives the tables that are shown, outer ones first."""
+    sheet, tables, todo = rules(root), [], [root]
+    while todo:
+        node = todo.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                continue
+            a = child.attributes
+            styles: dict[str, str] = {}
+            if sheet:
+                classes, own = (frozenset((child.get("class") or "").split()), child.get("id") or "") if a else (frozenset(), "")
+                for name, wanted, number, s in sheet:
+                    if (not name or name == child.name) and wanted <= classes and (not number or number == own):
+                        styles.update(s)
+            gone = False
+            if a:
+                low = a.lower()
+                if "hidden" in low and child.get("hidden") is not None and "display" not in styles:
+                    gone = True
+                if child.name == "input" and (child.get("type") or "").lower() == "hidden":
+                    gone = True
+                if "style" in low:
+                    styles.update({k.lower(): v.lower() for k, v in STYLE.findall(child.get("style") or "")})
+            if child.name == "dialog" and child.get("open") is None:
+                gone = True
+            child.shown = not (gone or child.name in UNSEEN or styles.get("display") == "none")
+            v = styles.get("visibility", "inherit")
+            child.visible = node.visible if v not in ("hidden", "collapse", "visible", "initial") else v in ("visible", "initial")
+        if node.name == "details" and node.get("open") is None:
+            first = next((c for c in node.children if not isinstance(c, str) and c.name == "summary"), None)
+            node.children = [first] if first is not None else []
+        if node.name == "table":
+            tables.append(node)
+        todo += [c for c in reversed(node.children) if not isinstance(c, str) and c.shown]
+    return tables
+
+
+def width(s: str) -> int:
+    """Columns that a text takes on a display."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def count(node: Node, name: str, default: int) -> int:
+    v = (node.get(name) or "").strip()
+    return int(v) if v.lstrip("-").isascii() and v.lstrip("-").isdigit() and len(v) < 10 else default
+
+
+def marked(number: int, kind: str) -> str:
+    """The mark of a list item by the list's type."""
+    if kind in ("a", "A") and number > 0:
+        out = ""
+        while number:
+            number, k = divmod(number - 1, 26)
+            out = chr(ord(kind) + k) + out
+        return out + ". "
+    if kind in ("i", "I") and 0 < number < 4000:
+        out = ""
+        for v, r in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split()):
+            out += r * (number // v)
+            number %= v
+        return (out if kind == "i" else out.upper()) + ". "
+    return f"{number}. "
 
 
 class Writer:
@@ -205,10 +329,10 @@ def rows_of(table: Node) -> list[list[Node]]:
     out, todo = [], [iter(table.children)]
     while todo:
         for child in todo[-1]:
-            if isinstance(child, str) or not shown(child):
+            if isinstance(child, str) or not child.shown:
                 continue
             if child.name == "tr":
-                out.append([c for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and shown(c)])
+                out.append([c for c in child.children if not isinstance(c, str) and c.name in CELLS and c.shown])
             elif child.name in ("thead", "tbody", "tfoot"):
                 todo.append(iter(child.children))
                 break
@@ -217,29 +341,46 @@ def rows_of(table: Node) -> list[list[Node]]:
     return out
 
 
-def table_text(table: Node, depth: int) -> list[str]:
-    grid = [[(render(c, depth + 1).split("\n"), max(1, int(s) if (s := c.get("colspan") or "1").isdigit() and len(s) < 4 else 1)) for c in row] for row in rows_of(table)]
-    width: dict[int, int] = {}
+def table_text(table: Node) -> list[str]:
+    grid: list[list[tuple[int, list[str], int]]] = []
+    taken: dict[int, int] = {}  # columns that a cell from above takes, and for how many more rows
+    for row in rows_of(table):
+        cells, at, new = [], 0, {}
+        for c in row:
+            while taken.get(at, 0):
+                at += 1
+            across, down = min(max(1, count(c, "colspan", 1)), 1000), count(c, "rowspan", 1)
+            cells.append((at, render(c).split("\n"), across))
+            if down != 1:
+                new.update({k: (down if down > 0 else 1 << 30) for k in range(at, at + across)})
+            at += across
+        taken = {k: n - 1 for k, n in {**taken, **new}.items() if n > 1}
+        grid.append(cells)
+    widths: dict[int, int] = {}
     for row in grid:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines)))
-            at += span
+        for at, lines, across in row:
+            if across == 1:
+                widths[at] = max(widths.get(at, 0), max(map(width, lines)))
+    columns = sorted({k for row in grid for at, _, across in row for k in range(at, at + across) if across == 1 or k in widths})
+    start, x = {}, 0
+    for k in columns:
+        start[k] = x
+        x += widths.get(k, 0) + 2
+    place = lambda at: start.get(at, min((start[k] for k in columns if k >= at), default=x))
     out = []
     for row in grid:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip())
+        for i in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line = ""
+            for at, lines, _ in row:
+                part = lines[i] if i < len(lines) else ""
+                if part:
+                    line += " " * max(place(at) - width(line), 2 if line else 0) + part
+            out.append(line.rstrip())
     return out
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """The visible text of a node. Tables more than 20 deep are rendered as plain blocks."""
+def render(root: Node) -> str:
+    """The visible text of an annotated node whose inner tables have their lines."""
     w = Writer()
     todo: list = [(root, iter(root.children), None)]
     lists: list = []
@@ -248,12 +389,14 @@ def render(root: Node, depth: int = 0) -> str:
         node, children, after = todo[-1]
         for child in children:
             if isinstance(child, str):
+                if not node.visible:
+                    continue
                 if pre:
                     w.verbatim(child)
                 else:
                     w.text(child)
                 continue
-            if not shown(child):
+            if not child.shown:
                 continue
             name = child.name
             if name == "br":
@@ -267,50 +410,42 @@ def render(root: Node, depth: int = 0) -> str:
             if name == "wbr":
                 continue
             if name == "img":
-                if alt := child.get("alt"):
+                if child.visible and (alt := child.get("alt")):
                     w.text(alt)
                 continue
             if name == "input":
-                if value := child.get("value"):
+                if child.visible and (value := child.get("value")):
                     w.text(f" {value} ")
                 continue
-            if name == "table" and depth < 20:
+            if name == "table":
                 w.want(2)
-                for c in child.children:
-                    if not isinstance(c, str) and c.name == "caption" and shown(c) and (text := render(c, depth + 1)):
-                        w.verbatim(text)
-                        w.want(1)
-                lines = table_text(child, depth)
-                if any(lines):
-                    w.verbatim("\n".join(lines))
-                loose = [c for c in child.children if (isinstance(c, str) and c.strip()) or (not isinstance(c, str) and c.name not in ("caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr"))]
-                if loose:  # what lies in a table but in no cell is shown outside it
-                    w.want(1)
-                    part = Node("div")
-                    part.children = loose
-                    todo.append((part, iter(loose), ("block", 1)))
-                    break
+                if any(child.lines):
+                    w.verbatim("\n".join(child.lines))
                 w.want(2)
                 continue
             done = None
             if name in ("ul", "ol", "menu"):
                 w.want(1 if lists else 2)
-                start = child.get("start") if name == "ol" else None
-                lists.append([name, int(start) if start and start.lstrip("-").isdigit() and len(start) < 10 else 1])
+                back = name == "ol" and child.get("reversed") is not None
+                items = sum(1 for c in child.children if not isinstance(c, str) and c.name == "li" and c.shown) if back else 1
+                lists.append([name, count(child, "start", items) if name == "ol" else 1, -1 if back else 1, child.get("type") or ""])
                 w.indent += 2
                 done = ("list", 1 if len(lists) > 1 else 2)
             elif name == "li":
                 w.want(1)
                 if lists and lists[-1][0] == "ol":
-                    w.mark = f"{lists[-1][1]}. "
-                    lists[-1][1] += 1
+                    number = count(child, "value", lists[-1][1])
+                    w.mark = marked(number, lists[-1][3])
+                    lists[-1][1] = number + lists[-1][2]
                 else:
                     w.mark = "- "
+                if not child.visible:
+                    w.mark = ""
                 done = ("item", 1)
-            elif name == "pre":
-                w.want(2)
+            elif name in ("pre", "textarea", "xmp"):
+                w.want(2 if name == "pre" else 1)
                 pre += 1
-                done = ("pre", 2)
+                done = ("pre", 2 if name == "pre" else 1)
             elif name in ("dd", "blockquote"):
                 w.want(2 if name == "blockquote" else 1)
                 w.indent += 2
@@ -318,7 +453,7 @@ def render(root: Node, depth: int = 0) -> str:
             elif name in BLOCK:
                 w.want(2 if name in SPACED else 1)
                 done = ("block", 2 if name in SPACED else 1)
-            elif name in ("td", "th"):
+            elif name in ("td", "th", "text"):
                 w.text(" ")
             todo.append((child, iter(child.children), done))
             break
@@ -339,8 +474,16 @@ def render(root: Node, depth: int = 0) -> str:
     return w.end()
 
 
+def text_of(root: Node) -> str:
+    """The text of a page: inner tables are laid out before those that hold them."""
+    for table in reversed(annotate(root)):
+        captions = [render(c) for c in table.children if not isinstance(c, str) and c.name == "caption" and c.shown]
+        table.lines = [line for c in captions if c for line in c.split("\n")] + table_text(table)
+    return render(root)
+
+
 def extract(page: str | None) -> str | None:
-    return None if page is None else render(parse(page))
+    return None if page is None else text_of(parse(page))
 
 
 def texts(pages: DataFrame) -> DataFrame:

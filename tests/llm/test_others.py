@@ -52,9 +52,86 @@ def test_html_rules():
     assert x("<select><option>a<option>b</select>").split() == ["a", "b"]
 
 
+def test_text_in_tables_is_never_lost():
+    x = html_text.extract
+    assert x("<table><tbody><td>x</td></tbody></table>") == "x"
+    assert x("<table><tr>text<td>cell</table>") == "text\n\ncell"
+    assert x("<table><tr><form><td>a<td>b</form></tr></table>") == "a  b"
+    assert x("<table><tbody><div>out</div><tr><td>in</tbody></table>") == "out\n\nin"
+    assert x("<table><b>bold<tr><td>in</table>after") == "bold\n\nin\n\nafter"
+    assert x("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert x("<table><caption>cap</caption><tr><td>a</table>") == "cap\na"
+    assert x("<table><tr><td><table><tr><td>in<td>ner</table><td>out</table>") == "in  ner  out"
+    assert x("<table><tr><td>a</table><table><tr><td>b</table>") == "a\n\nb"
+    deep = x("<table><tr><td>a<td>" * 400 + "end")
+    assert deep.split() == ["a"] * 400 + ["end"]
+
+
+def test_spans_and_widths():
+    x = html_text.extract
+    assert x("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert x("<table><tr><td>x<td rowspan=0>y<tr><td>z<td>w</table>") == "x  y\nz     w"
+    assert x("<table><tr><td>日本<td>b<tr><td>abcd<td>e<tr><td>e\u0301<td>f</table>") == "日本  b\nabcd  e\ne\u0301     f"
+
+
+def test_visibility():
+    x = html_text.extract
+    assert x("<div style='visibility:hidden'>a<p style='visibility:visible'>b</p>c</div>d") == "b\n\nd"
+    assert x("<svg><title>t</title><defs>n</defs><text>one</text><text>two</text></svg> <math><mi>x</mi><mo>=</mo></math> <object data=q>fall</object>") == "one two x= fall"
+    assert x("<details><summary>s</summary>no</details><details open><summary>s</summary>yes</details>") == "s\ns\nyes"
+    assert x("<dialog>no</dialog><dialog open>yes</dialog><video>no</video><canvas>no</canvas>") == "yes"
+    css = "<style>.h{display:none} /* .v{display:none} */ #i, p.q { color:red; visibility: hidden } @media print{.v{display:none}} .w{display:none} b.w{display:inline}</style>"
+    assert x(css + "<p class='a h'>1</p><p class=v>2</p><p id=i>3</p><p class=q>4</p><div class=q>5</div><b class=w>6</b><i class=w>7</i><i class=w style='display:inline'>8</i>") == "2\n\n5\n68"
+
+
+def test_lists_and_areas():
+    x = html_text.extract
+    assert x("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
+    assert x("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c" and x("<ol reversed start=9><li>a<li>b</ol>") == "9. a\n8. b"
+    assert x("<ol type=a start=26><li>a<li>b</ol><ol type=I><li>x<li value=4>y</ol>") == "z. a\naa. b\n\nI. x\nIV. y"
+    assert x("a<textarea>\n1\n 2</textarea>b").split("\n")[-3:] == ["1", " 2", "b"]
+
+
+def walk(rng, depth, visible, out):
+    """A random tree as HTML; appends its visible words to ``out``, in order."""
+    kind = rng.choice("text text text div p b ul ol pre hidden none visible details closed svg script".split()) if depth else "text"
+    if kind == "text":
+        word = f"w{rng.randrange(10**6)}"
+        if visible:
+            out.append(word)
+        return f" {word} "
+    inner = lambda v: "".join(walk(rng, depth - 1, v, out) for _ in range(rng.randrange(4)))
+    if kind in ("script", "none", "closed"):
+        held = len(out)
+        body = "var x = '<p>';" if kind == "script" else inner(False)
+        del out[held:]
+        return {"script": f"<script>{body}</script>", "none": f"<div style='display:none'>{body}</div>", "closed": f"<dialog>{body}</dialog>"}[kind]
+    if kind in ("hidden", "visible"):
+        return f"<span style='visibility: {kind}'>{inner(kind == 'visible')}</span>"
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{inner(visible)}" for _ in range(rng.randrange(3))) + f"</{kind}>"
+    if kind == "p":  # a block would end it
+        return "<p>" + "".join(walk(rng, 0, visible, out) for _ in range(rng.randrange(4))) + "</p>"
+    return f"<{kind} open>{inner(visible)}</{kind}>"
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_all_visible_text_and_nothing_else(seed):
+    import random
+
+    rng, want = random.Random(seed), []
+    page = "".join(walk(rng, 5, True, want) for _ in range(5))
+    got = [w for w in html_text.extract(page).split() if w.startswith("w")]
+    assert got == want
+    cells: list[list[str]] = [[], []]
+    left, right = (walk(rng, 4, True, c) for c in cells)
+    got = [w for w in html_text.extract(f"<table><tr><td>{left}<td>{right}</table>").split() if w.startswith("w")]
+    assert sorted(got) == sorted(cells[0] + cells[1])
+
+
 def test_html_query(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", None), (1, "u", "<p>a"), (3, None, "")], "page_id bigint, url string, html string")
-    assert sorted(map(tuple, html_text.texts(pages).collect()), key=str) == [(1, "a"), (1, "a"), (2, None), (3, "")]
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", None), (1, "u", "<p>a"), (3, None, ""), (None, "u", "<p>" + "long " * 300_000)], "page_id bigint, url string, html string").selectExpr("*", "1 as text", "2 as `doc.x`")
+    assert sorted(map(tuple, html_text.texts(pages).collect()), key=str) == sorted([(1, "a"), (1, "a"), (2, None), (3, ""), (None, ("long " * 300_000).strip())], key=str)
     assert html_text.texts(pages.limit(0)).count() == 0
 
 
