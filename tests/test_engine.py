@@ -368,3 +368,17 @@ def test_every_query_has_a_stable_name():
     import __spark_entry__ as e
 
     assert len(e.QUERIES) > 70 and set(e.ORACLE_SQL) <= set(e.QUERIES)
+
+
+def test_hashes_of_whole_texts_against_xxhash(spark):
+    import xxhash
+
+    from spillway import queries
+    from spillway.functions.normalize import Normalizer
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    plain = {r.doc_id: int(r.h) for r in queries.hash_xxh64(spark, "/root/testdata/sf0.001").collect()}
+    assert plain == {i: xxhash.xxh64(t.encode()).intdigest() for i, t in texts.items()}
+    one = Normalizer()
+    some = {r.doc_id: int(r.h) for r in queries.hash_normalized(spark, "/root/testdata/sf0.001").collect()}
+    assert some == {i: xxhash.xxh64(one(t).encode()).intdigest() for i, t in texts.items()}
