@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -15,11 +18,16 @@ from ..functions import timefmt
 from ..functions.paths import Document
 
 SINKS: dict[str, Callable[[DataFrame, dict], None]] = {}
+BY_BATCH: set[str] = set()  # sinks that give back a DataFrame (doc, error) of the rows that weren't taken, and do their work when it is read
+REJECTED = frozenset(("400", "413", "rejected"))  # answers that no retry changes: without a dead queue such rows are logged and dropped
+log = logging.getLogger("spillway")
 
 
-def sink(name: str):
+def sink(name: str, by_batch: bool = False):
     def register(f):
         SINKS[name] = f
+        if by_batch:
+            BY_BATCH.add(name)
         return f
 
     return register
@@ -36,11 +44,16 @@ def document(df: DataFrame, but: tuple = ()) -> Column:
 
 
 def write(df: DataFrame, spec: dict) -> None:
-    """Writes with retries (exponential, jittered); what fails goes to the dead queue, or fails the job."""
+    """Writes with retries (exponential, jittered); what fails goes to the dead queue, or fails the job.
+
+    Sinks by HTTP retry each of their batches and give back the rows that weren't taken, so nothing that was delivered is sent
+    again; only those rows go to the dead queue. The others retry the whole write."""
     kind = spec.get("type", "devnull")
     if kind not in SINKS:
         raise ValueError(f"unknown sink {kind!r}")
-    retries, wait, factor = int(spec.get("retry", 10)), float(spec.get("retention_seconds", 0.05)), float(spec.get("retention_exponentially_multiplier", 2))
+    if kind in BY_BATCH:
+        return _settle(SINKS[kind](df, spec), df, spec)
+    retries, wait, factor = patience(spec)
     for n in range(retries + 1):
         try:
             return SINKS[kind](df, spec)
@@ -53,6 +66,35 @@ def write(df: DataFrame, spec: dict) -> None:
     return None
 
 
+def patience(spec: dict) -> tuple[int, float, float]:
+    return int(spec.get("retry", 10)), float(spec.get("retention_seconds", 0.05)), float(spec.get("retention_exponentially_multiplier", 2))
+
+
+def _settle(failed: DataFrame, df: DataFrame, spec: dict) -> None:
+    """Sends what is to be sent, keeps the failed rows (doc, error) in the shared folder meanwhile, and hands them to the dead queue."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/") + "/_shared"
+    path = f"{root.rstrip('/')}/failed-{uuid.uuid4().hex}"
+    failed.write.parquet(path)
+    try:
+        rows = spark.read.parquet(path)
+        lost = {r["error"]: r["count"] for r in rows.groupBy("error").count().collect()}  # a row for each kind of answer
+        if not lost:
+            return
+        log.error("%s: %d rows weren't taken: %s", spec.get("type"), sum(lost.values()), lost)
+        if "deadqueue" in spec and not spec.get("fatal_on_failed_insert"):
+            write(rows.select(F.from_json("doc", df.schema).alias("d")).select("d.*"), spec["deadqueue"])
+        elif spec.get("fatal_on_failed_insert") or set(lost) - REJECTED:
+            raise RuntimeError(f"{spec.get('type')}: {sum(lost.values())} rows weren't taken: {lost}")
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
 def batch_writer(spec: dict):
     def run(df: DataFrame, batch: int) -> None:
         write(df, spec)
@@ -67,8 +109,18 @@ def devnull(df: DataFrame, spec: dict) -> None:
 
 @sink("stdout")
 def stdout(df: DataFrame, spec: dict) -> None:
-    for r in df.select(document(df).alias("d")).toLocalIterator(prefetchPartitions=True):
+    """Lines on the standard output: of the driver in a local session, of each executor on a cluster."""
+    lines = df.select(document(df).alias("d"))
+    if not df.sparkSession.sparkContext.master.startswith("local"):
+        return lines.foreachPartition(_print)
+    for r in lines.toLocalIterator(prefetchPartitions=True):
         print(r[0])
+    return None
+
+
+def _print(rows: Iterator[Row]) -> None:
+    for r in rows:
+        print(r[0], flush=True)
 
 
 @sink("file")
@@ -279,63 +331,95 @@ def postgres_upsert(spec: dict) -> str:
     return sql
 
 
-def _post(df: DataFrame, body: Column, spec: dict, join: str = "") -> None:
-    """Batches of payloads by HTTP from the executors; a batch that is too large is halved."""
+def _post(df: DataFrame, body: Column, spec: dict, join: str = "", items: bool = False) -> DataFrame:
+    """Batches of payloads by HTTP from the executors, as the rows (doc, error) that weren't taken.
+
+    A batch that is too large is halved; one that is answered otherwise than 2xx, 400 or 413 is tried again, at the next
+    endpoint. ``items``: the answer tells for each row whether it was taken (a bulk API)."""
     endpoints, most, headers = spec["endpoints"], int(spec.get("batch_size", 256)), dict(spec.get("headers") or {})
+    (retries, wait, factor), gzipped, split = patience(spec), spec.get("use_gzip"), spec.get("split_batch", True)
+    head = {"Content-Type": spec.get("content_type", "application/json"), **headers, **({"Content-Encoding": "gzip"} if gzipped else {})}
 
-    def send(rows: Iterator[Row]) -> None:
+    def send(batches):
+        import gzip
         import urllib.error
         import urllib.request
 
-        def post(parts: list[str], n: int) -> None:
-            data = join.join(parts).encode()
-            head = {"Content-Type": spec.get("content_type", "application/json"), **headers}
-            if spec.get("use_gzip"):
-                import gzip
+        import pyarrow as pa
 
-                data, head["Content-Encoding"] = gzip.compress(data), "gzip"
+        def attempt(data: bytes, n: int) -> tuple[str, bytes]:
+            """The error's kind, empty for none, and the answer."""
             try:
-                urllib.request.urlopen(urllib.request.Request(endpoints[n % len(endpoints)], data, head), timeout=30).read()
+                with urllib.request.urlopen(urllib.request.Request(endpoints[n % len(endpoints)], data, head), timeout=30) as answer:
+                    return "", answer.read()
             except urllib.error.HTTPError as e:
-                if e.code == 413 and len(parts) > 1 and spec.get("split_batch", True):
-                    post(parts[: len(parts) // 2], n)
-                    post(parts[len(parts) // 2 :], n)
-                elif e.code not in (400, 413):
-                    raise
+                return str(e.code), b""
+            except (OSError, TimeoutError):
+                return "unreachable", b""
 
-        held, n = [], 0
-        for r in rows:
-            held.append(r[0])
-            if len(held) >= most:
-                post(held, n)
-                held, n = [], n + 1
-        if held:
-            post(held, n)
+        def post(parts: list[str], docs: list[str], n: int) -> list[tuple[str, str]]:
+            data = join.join(parts).encode()
+            data = gzip.compress(data) if gzipped else data
+            error = ""
+            for k in range(retries + 1):
+                error, answer = attempt(data, n + k)
+                if error == "413" and len(parts) > 1 and split:
+                    half = len(parts) // 2
+                    return post(parts[:half], docs[:half], n) + post(parts[half:], docs[half:], n)
+                if not error or error in REJECTED:
+                    break
+                if k < retries:
+                    time.sleep(wait * factor**k * random.uniform(0.5, 1.5))
+            if error:
+                return [(d, error) for d in docs]
+            if not items:
+                return []
+            try:
+                told = json.loads(answer or b"{}")
+                results = [next(iter(x.values())) for x in told.get("items", [])] if told.get("errors") else []
+            except (ValueError, AttributeError):
+                return []
+            return [(d, "rejected") for d, r in zip(docs, results) if int(r.get("status", 200)) >= 400]
 
-    df.select(body.alias("b")).foreachPartition(send)
+        parts: list[str] = []
+        docs: list[str] = []
+        n = 0
+        for b in batches:
+            for part, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts.append(part)
+                docs.append(doc)
+                if len(parts) >= most:
+                    if failed := post(parts, docs, n):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*failed)], ["doc", "error"])
+                    parts, docs, n = [], [], n + 1
+        if parts and (failed := post(parts, docs, n)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*failed)], ["doc", "error"])
+
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return df.select(body.alias("b"), whole.alias("doc")).where("b is not null").mapInArrow(send, "doc string, error string")
 
 
-@sink("elasticsearch")
-def elasticsearch(df: DataFrame, spec: dict) -> None:
-    _post(df, es_bulk(df, spec), {**spec, "endpoints": [e.rstrip("/") + "/_bulk" for e in spec["endpoints"]], "content_type": "application/x-ndjson"})
+@sink("elasticsearch", by_batch=True)
+def elasticsearch(df: DataFrame, spec: dict) -> DataFrame:
+    return _post(df, es_bulk(df, spec), {**spec, "endpoints": [e.rstrip("/") + "/_bulk" for e in spec["endpoints"]], "content_type": "application/x-ndjson"}, items=True)
 
 
-@sink("http")
-def http(df: DataFrame, spec: dict) -> None:
-    _post(df, http_body(df, spec), spec)
+@sink("http", by_batch=True)
+def http(df: DataFrame, spec: dict) -> DataFrame:
+    return _post(df, http_body(df, spec), spec)
 
 
-@sink("splunk")
-def splunk(df: DataFrame, spec: dict) -> None:
-    _post(df, splunk_event(df, spec), {**spec, "endpoints": [spec["endpoint"]], "headers": {"Authorization": f"Splunk {spec['token']}"}})
+@sink("splunk", by_batch=True)
+def splunk(df: DataFrame, spec: dict) -> DataFrame:
+    return _post(df, splunk_event(df, spec), {**spec, "endpoints": [spec["endpoint"]], "headers": {"Authorization": f"Splunk {spec['token']}"}})
 
 
-@sink("loki")
-def loki(df: DataFrame, spec: dict) -> None:
+@sink("loki", by_batch=True)
+def loki(df: DataFrame, spec: dict) -> DataFrame:
     row = loki_row(df, spec)
     labels = {x["label"]: x["value"] for x in spec.get("labels") or []}
-    value = F.to_json(F.struct(F.array(F.struct(F.from_json(F.lit(__import__("json").dumps(labels)), "map<string,string>").alias("stream"), F.array(F.array(row["ts"], row["line"], F.to_json(row["meta"]))).alias("values"))).alias("streams")))
-    _post(df.where(row.isNotNull()), value, {**spec, "endpoints": [spec["address"].rstrip("/") + "/loki/api/v1/push"], "batch_size": 1})
+    value = F.to_json(F.struct(F.array(F.struct(F.from_json(F.lit(json.dumps(labels)), "map<string,string>").alias("stream"), F.array(F.array(row["ts"], row["line"], F.to_json(row["meta"]))).alias("values"))).alias("streams")))
+    return _post(df.where(row.isNotNull()), value, {**spec, "endpoints": [spec["address"].rstrip("/") + "/loki/api/v1/push"], "batch_size": 1})
 
 
 def _stream(df: DataFrame, body: Column, address: str, network: str, delimiter: str) -> None:

@@ -6,6 +6,7 @@ Batch order: ``_seq`` is monotonically increasing in a file's splits, in file or
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,7 @@ def file(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
 
     A stream resumes from its checkpoint; ``offsets_op`` tail (latestFirst) and ``max_files`` shape the first
     batches, ``remove_after`` cleans files up."""
-    reader = spark.readStream if streaming else spec_reader(spark)
-    reader = reader.format("text").option("lineSep", "\n")
+    reader = (spark.readStream if streaming else spark.read).format("text").option("lineSep", "\n")
     if streaming:
         reader = reader.option("maxFilesPerTrigger", int(spec.get("max_files", 1000))).option("latestFirst", spec.get("offsets_op") == "tail")
         if spec.get("remove_after"):
@@ -68,17 +68,15 @@ def file(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
     paths = spec.get("paths", {})
     include = paths.get("include", []) if isinstance(paths, dict) else paths
     include = list(include or [spec["watching_dir"]])
-    df = reader.option("recursiveFileLookup", True).load(include[0]) if streaming else reader.option("recursiveFileLookup", True).load(include)
-    df = df.select("value", F.col("_metadata.file_path").alias("__path"))
+    reader = reader.option("recursiveFileLookup", True)
+    # a stream has one path: each path is a stream of its own, with its own place in the checkpoint
+    loaded = [reader.load(p) for p in dict.fromkeys(include)] if streaming else [reader.load(include)]
+    df = reduce(DataFrame.unionByName, [x.select("value", F.col("_metadata.file_path").alias("__path")) for x in loaded])
     for pattern in (paths.get("exclude", []) if isinstance(paths, dict) else []):
         df = df.where(~F.col("__path").rlike(glob_regex(pattern)))
     return enveloped(df, F.col("__path")).drop("__path")
 
 
-def spec_reader(spark: SparkSession):
-    return spark.read
-
-
 def glob_regex(pattern: str) -> str:
     import re
 
@@ -107,7 +105,10 @@ def k8s(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
 def kafka(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
     """Topics by the Kafka connector (its jar must be on the classpath). No order is promised across partitions."""
     reader = (spark.readStream if streaming else spark.read).format("kafka")
-    for k, v in kafka_options(spec).items():
+    options = kafka_options(spec)
+    if not streaming:  # a batch reads what is there
+        options |= {"startingOffsets": "earliest", "endingOffsets": "latest"}
+    for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
     df = df.select("value", F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset"), F.col("offset").alias("_seq"))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import regex
 from ..functions.paths import Document
-from ..operators.limits import Antispam, bucket_of
+from ..operators.limits import Antispam, Shares, antispam_threshold, bucket_of
 from ..operators.ordered import TEMPLATES
 from ..operators.predicates import seconds
 
@@ -28,10 +28,11 @@ STATEFUL = ("join", "join_template", "throttle", "cardinality", "antispam")
 class Joiner:
     """Holds a start and appends what continues it; anything else lets it go."""
 
-    def __init__(self, start: str, go_on: str, negate: bool = False, limit: int = 0):
-        self.start, self.go_on, self.negate, self.limit = regex.python(start), regex.python(go_on), negate, limit
+    def __init__(self, kinds: list[tuple[str, str, bool]], limit: int = 0):
+        """``kinds`` are (start, continue, negate); the first whose start matches counts until the event is let go."""
+        self.kinds, self.limit = [(regex.python(s), regex.python(c), n) for s, c, n in kinds], limit
         self.held: str | None = None
-        self.text = ""
+        self.text, self.kind = "", 0
 
     def push(self, text: str | None, row: str, passes: bool = True) -> list[tuple[str, str | None]]:
         """(row, text) that are let go by this row."""
@@ -40,11 +41,13 @@ class Joiner:
         if text is None:
             out += self.flush()
             return [*out, (row, None)]
-        if (busy or passes) and self.start.search(text):
-            out += self.flush()
-            self.held, self.text = row, text
-            return out
-        if busy and bool(self.go_on.search(text)) != self.negate:
+        if busy or passes:
+            kind = next((i for i, (start, _, _) in enumerate(self.kinds) if start.search(text)), None)
+            if kind is not None:
+                out += self.flush()
+                self.held, self.text, self.kind = row, text, kind
+                return out
+        if busy and bool(self.kinds[self.kind][1].search(text)) != self.kinds[self.kind][2]:
             if not self.limit or len(self.text.encode()) < self.limit:
                 self.text += text
             return out
@@ -83,9 +86,11 @@ class Cardinality:
         self.limit, self.ttl, self.seen = limit, ttl, {}
 
     def over(self, value: str, now: float) -> bool:
-        self.seen = {v: t for v, t in self.seen.items() if t > now}
+        while self.seen and (oldest := next(iter(self.seen))) is not None and self.seen[oldest] <= now:
+            del self.seen[oldest]
         if len(self.seen) >= self.limit:
             return True
+        self.seen.pop(value, None)  # a value that is seen again expires last
         self.seen[value] = now + self.ttl
         return False
 
@@ -114,8 +119,8 @@ class _Keyed(StatefulProcessor):
 class JoinProcessor(_Keyed):
     def machine(self, kept: dict) -> Joiner:
         s = self.spec
-        j = Joiner(s["start"], s["continue"], s.get("negate", False), s.get("max_event_size", 0))
-        j.held, j.text = kept.get("held"), kept.get("text", "")
+        j = Joiner([tuple(k) for k in s["kinds"]], s.get("max_event_size", 0))
+        j.held, j.text, j.kind = kept.get("held"), kept.get("text", ""), kept.get("kind", 0)
         return j
 
     def rows(self, out: list[tuple[str, str | None]], key) -> pd.DataFrame:
@@ -126,7 +131,7 @@ class JoinProcessor(_Keyed):
         for pdf in rows:
             for t, r, m in pdf.sort_values("seq")[["txt", "row", "m"]].itertuples(index=False):
                 out += j.push(t, r, bool(m))
-        self.save({"held": j.held, "text": j.text})
+        self.save({"held": j.held, "text": j.text, "kind": j.kind})
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         if j.held is not None:
@@ -141,32 +146,57 @@ class JoinProcessor(_Keyed):
 
 
 class FilterProcessor(_Keyed):
-    """Rows that a machine lets pass: throttle, cardinality or antispam."""
+    """Rows and whether a machine lets them pass: throttle, cardinality or antispam. The machine is loaded and saved once for a batch of a key."""
+
+    def machine(self, kept: dict):
+        """(what decides on a row, what is to be kept afterwards)."""
+        s = self.spec
+        if s["kind"] == "throttle":
+            m, shares = Limiter(-1, s["buckets"]), kept.get("shares", {})
+            m.sums = {int(k): v for k, v in kept.get("sums", {}).items()}
+
+            def throttled(r, now) -> bool:
+                m.limit = int(r.lim)
+                spec = s["shares"][int(r.c)] if s["shares"] else None
+                if not spec or m.limit < 0:
+                    return m.allow(int(r.a), int(r.b))
+                newest = max(map(int, shares), default=int(r.a))
+                bucket = int(r.a) if int(r.a) > newest - s["buckets"] else newest
+                step = Shares(m.limit, spec)
+                step.used, step.own = (list(x) if isinstance(x, list) else x for x in shares.get(str(bucket), (step.used, 0)))
+                ok = step(str(r.txt or ""), int(r.b))
+                shares[str(bucket)] = [step.used, step.own]
+                for old in [k for k in shares if int(k) <= max(newest, bucket) - s["buckets"]]:
+                    del shares[old]
+                return ok
+
+            return throttled, lambda: {"sums": {str(k): v for k, v in m.sums.items()}, "shares": shares}
+        if s["kind"] == "cardinality":
+            m = Cardinality(0, s["ttl"])
+            m.seen = kept
+
+            def counted(r, now) -> bool:
+                m.limit = int(r.lim)
+                return not m.over(str(r.txt), now)
+
+            return counted, lambda: m.seen
+        m = Antispam(1, s["interval"])
+        m.counter, m.last, m.tick = kept.get("counter", 0), kept.get("last"), kept.get("tick")
+
+        def calm(r, now) -> bool:
+            m.threshold = int(r.lim)
+            return not m.spam(r.a / 1e6)
+
+        return calm, lambda: {"counter": m.counter, "last": m.last, "tick": m.tick}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s, kept, out = self.spec, self.load(), []
+        decide, kept = self.machine(self.load())
         now = timerValues.getCurrentProcessingTimeInMs() / 1000
         for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples(index=False):
-                if s["kind"] == "throttle":
-                    m = Limiter(int(r.lim), s["buckets"])
-                    m.sums = {int(k): v for k, v in kept.items()}
-                    ok = m.allow(int(r.a), int(r.b))
-                    kept = {str(k): v for k, v in m.sums.items()}
-                elif s["kind"] == "cardinality":
-                    m = Cardinality(int(r.lim), s["ttl"])
-                    m.seen = kept
-                    ok = not m.over(str(r.txt), now)
-                    kept = m.seen
-                else:
-                    m = Antispam(int(r.lim), s["interval"])
-                    m.counter, m.last, m.tick = kept.get("counter", 0), kept.get("last"), kept.get("tick")
-                    ok = not m.spam(r.a / 1e6)
-                    kept = {"counter": m.counter, "last": m.last, "tick": m.tick}
-                if ok:
-                    out.append(r.row)
-        self.save(kept)
-        yield pd.DataFrame([(*key, x) for x in out], columns=[*s["keys"], "row"])
+            pdf = pdf.sort_values("seq")
+            ok = [decide(r, now) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame([(*key, x, o) for x, o in zip(pdf["row"], ok)], columns=[*self.spec["keys"], "row", "ok"])
+        self.save(kept())
 
 
 def _packed(df: DataFrame):
@@ -181,11 +211,16 @@ def _keys(df: DataFrame) -> list[str]:
     return [c for c in ("_source_id", "_stream") if c in df.columns]
 
 
-def _filtered(df: DataFrame, spec: dict, key, lim, a, b, txt, on) -> DataFrame:
-    """Rows where ``on`` holds go through the machine; the others pass."""
-    rows = df.select(key.alias("k"), F.col("_seq").alias("seq"), _packed(df).alias("row"), lim.cast("bigint").alias("lim"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), txt.cast("string").alias("txt"), F.coalesce(on, F.lit(False)).alias("on"))
-    out = rows.where("on").groupBy("k").transformWithStateInPandas(FilterProcessor({**spec, "keys": ["k"]}), "k string, row string", "append", "ProcessingTime")
-    return _unpacked(out.select("row").unionByName(rows.where("not on").select("row")), df)
+def _decided(df: DataFrame, spec: dict, key, lim, a, b, c, txt, on) -> DataFrame:
+    """Rows with __ok: where ``on`` holds the machine decides, the others pass."""
+    rows = df.select(key.alias("k"), F.col("_seq").alias("seq"), _packed(df).alias("row"), lim.cast("bigint").alias("lim"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), c.cast("bigint").alias("c"), txt.cast("string").alias("txt"), F.coalesce(on, F.lit(False)).alias("on"))
+    out = rows.where("on").groupBy("k").transformWithStateInPandas(FilterProcessor({**spec, "keys": ["k"]}), "k string, row string, ok boolean", "append", "ProcessingTime")
+    out = out.select("row", "ok").unionByName(rows.where("not on").select("row", F.lit(True).alias("ok")))
+    return out.select(F.from_json("row", df.schema).alias("d"), F.col("ok").alias("__ok")).select("d.*", "__ok")
+
+
+def _filtered(df: DataFrame, spec: dict, key, lim, a, b, c, txt, on) -> DataFrame:
+    return _decided(df, spec, key, lim, a, b, c, txt, on).where("__ok").drop("__ok")
 
 
 def apply_streaming(df: DataFrame, spec: dict) -> DataFrame:
@@ -199,14 +234,15 @@ def apply_streaming(df: DataFrame, spec: dict) -> DataFrame:
     when = F.lit(True) if when is None else when
     if kind in ("join", "join_template"):
         if kind == "join_template":
-            start, go_on, negate = TEMPLATES[spec.get("template") or spec["templates"][0]]
+            names = spec.get("templates") or [spec["template"]]
+            kinds = [TEMPLATES[n if isinstance(n, str) else n["name"]] for n in names]
         else:
-            start, go_on, negate = spec["start"].strip("/"), spec["continue"].strip("/"), bool(spec.get("negate"))
+            kinds = [(spec["start"].strip("/"), spec["continue"].strip("/"), bool(spec.get("negate")))]
         field = spec.get("field", "log")
         keys = _keys(df) or ["__one"]
         base = df if _keys(df) else df.withColumn("__one", F.lit("1"))
         rows = base.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("_seq").alias("seq"), _packed(df).alias("row"), doc.get(field).cast("string").alias("txt"), when.alias("m"))
-        own = {"start": start, "continue": go_on, "negate": negate, "max_event_size": int(spec.get("max_event_size", 0)), "timeout": seconds(spec.get("event_timeout", "30s")), "keys": keys}
+        own = {"kinds": kinds, "max_event_size": int(spec.get("max_event_size", 0)), "timeout": seconds(spec.get("event_timeout", "30s")), "keys": keys}
         out = rows.groupBy(*keys).transformWithStateInPandas(JoinProcessor(own), ", ".join(f"{k} string" for k in keys) + ", row string, txt string", "append", "ProcessingTime")
         back = Document(out.select(F.from_json("row", df.schema).alias("d"), F.col("txt").alias("__txt")).select("d.*", "__txt"))
         back.set(field, F.col("__txt"))
@@ -214,21 +250,35 @@ def apply_streaming(df: DataFrame, spec: dict) -> DataFrame:
     zero, none = F.lit(0), F.lit(None)
     if kind == "throttle":
         key, lim, size = F.lit("default") if not spec.get("throttle_field") else doc.text(spec["throttle_field"]), F.lit(int(spec.get("default_limit", 5000))), F.lit(spec.get("limit_kind", "count"))
-        rule = F.lit(-1)
+        given = spec.get("rules") or []
+        dists = [r.get("limit_distribution") for r in given] + [spec.get("limit_distribution")]
+        rule, value = F.lit(len(given)), F.lit("") if not (dists[-1] or {}).get("field") else doc.text(dists[-1]["field"])
         from ..operators.predicates import do_if, match_fields
 
-        for i, r in reversed(list(enumerate(spec.get("rules") or []))):
+        for i, r in reversed(list(enumerate(given))):
             ok = do_if(doc, r["do_if"]) if r.get("do_if") else match_fields(doc, r.get("conditions") or {})
+            value = F.when(ok, doc.text(dists[i]["field"]) if (dists[i] or {}).get("field") else F.lit("")).otherwise(value)
             rule, lim, size = F.when(ok, F.lit(i)).otherwise(rule), F.when(ok, F.lit(int(r["limit"]))).otherwise(lim), F.when(ok, F.lit(r.get("limit_kind", "count"))).otherwise(size)
         weight = F.when(size == "size", F.col("_size") if "_size" in df.columns else F.lit(1)).otherwise(F.lit(1))
         bucket = bucket_of(doc, spec.get("time_field", "time"), spec.get("time_field_format", "rfc3339nano"), spec.get("bucket_interval", "1m"))
-        return _filtered(df, {"kind": kind, "buckets": int(spec.get("buckets_count", 60))}, F.concat_ws("|", rule.cast("string"), key), lim, bucket, weight, none, when)
+        shares = [d if d and d.get("ratios") else None for d in dists]
+        return _filtered(df, {"kind": kind, "buckets": int(spec.get("buckets_count", 60)), "shares": shares if any(shares) else None}, F.concat_ws("|", rule.cast("string"), key), lim, bucket, weight, rule, value, when)
     if kind == "cardinality":
         if spec.get("action", "nothing") == "nothing" or int(spec.get("limit", 10000)) < 0:
             return df
-        if spec["action"] != "discard":
-            raise ValueError("over streams cardinality can only discard")
         join = lambda names: F.to_json(F.array(*[doc.text(p) for p in names]))
-        return _filtered(df, {"kind": kind, "ttl": seconds(spec.get("ttl", "1h"))}, join(spec["key"]), F.lit(int(spec.get("limit", 10000))), zero, zero, join(spec["fields"]), when)
+        out = _decided(df, {"kind": kind, "ttl": seconds(spec.get("ttl", "1h"))}, join(spec["key"]), F.lit(int(spec.get("limit", 10000))), zero, zero, zero, join(spec["fields"]), when)
+        if spec["action"] == "discard":
+            return out.where("__ok").drop("__ok")
+        less = Document(out)
+        for p in spec["fields"]:
+            less.drop(p)
+        return less.frame(~F.col("__ok")).drop("__ok")
     time = F.unix_micros(F.col(spec.get("time", "_time")).cast("timestamp"))
-    return _filtered(df, {"kind": kind, "interval": seconds(spec.get("interval", "5s"))}, F.col(spec.get("source", "_source_id")).cast("string"), F.lit(int(spec["threshold"])), time, zero, none, when)
+    base, event = df, spec.get("event", "value")
+    if spec.get("rules") is not None:
+        base = df.withColumns({"event": F.col(event), "source_name": F.col("_source_name") if "_source_name" in df.columns else F.lit("")})
+        base = base.withColumn("meta", F.col("_meta")) if "_meta" in df.columns else base
+    most = base.withColumn("__most", antispam_threshold(base, int(spec.get("threshold", -1)), spec.get("rules"), spec.get("exceptions"), event)).where("__most <> 0").select(*[F.col(f"`{c}`") for c in df.columns], "__most")
+    out = _filtered(most, {"kind": kind, "interval": seconds(spec.get("interval", "5s"))}, F.col(spec.get("source", "_source_id")).cast("string"), F.col("__most"), time, zero, zero, none, when & (F.col("__most") > 0))
+    return out.drop("__most")

@@ -217,7 +217,7 @@ def test_join_windows_equal_the_state_machine(spark, seed):
     got = sorted((r._source_id, r._seq, r.log or "") for r in apply(frame(spark, rows, "_source_id int, _seq int, log string, m string"), spec).collect())
     want = []
     for s in range(5):
-        j = Joiner("^S", "C")
+        j = Joiner([("^S", "C", False)])
         for _, i, t, m in rows[s * 60 : s * 60 + 60]:
             want += [(s, int(k), v or "") for k, v in j.push(t, str(i), m == "yes")]
         want += [(s, int(k), v or "") for k, v in j.flush()]
