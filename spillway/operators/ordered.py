@@ -1,7 +1,6 @@
 """Operators over ordered streams, and generators: split, join, templates, fragments, bulk streams.
 
-A stream is (_source_id, _stream); its order is _seq. Missing stream columns mean one
-stream. All ordered operators share one window specification, so chained ones share an exchange.
+A stream is (_source_id, _stream), or the one of these columns that there is; its order is _seq. All ordered operators share one window specification, so chained ones share an exchange.
 """
 
 from __future__ import annotations
@@ -27,7 +26,10 @@ TEMPLATES = {
 
 
 def stream_of(df: DataFrame) -> list[str]:
-    return [c for c in ("_source_id", "_stream") if c in df.columns]
+    keys = [c for c in ("_source_id", "_stream") if c in df.columns]
+    if not keys:
+        raise ValueError("ordered operators need _source_id or _stream: rows without would be one stream, which one task sorts")
+    return keys
 
 
 @action("split")
@@ -68,7 +70,7 @@ def chained(df: DataFrame, start: Column, go_on: Column, when: Column, field: li
     doc = Document(df)
     col = doc.get(field)
     keys = stream_of(df)
-    by = W.partitionBy(*keys).orderBy("_seq") if keys else W.orderBy("_seq")
+    by = W.partitionBy(*keys).orderBy("_seq")
     rows = df.withColumns({"__txt": col.cast("string"), "__st": F.coalesce(start, F.lit(False)), "__c": F.coalesce(go_on, F.lit(False)), "__m": F.coalesce(when, F.lit(False))})
     rows = rows.withColumn("__gid", F.sum((F.col("__txt").isNull() | F.col("__st") | ~F.col("__c")).cast("int")).over(by))
     piece = W.partitionBy(*keys, "__gid").orderBy("_seq")
@@ -121,7 +123,7 @@ def join_template(df: DataFrame, when: Column | None = None, field: str = "log",
     if col is None:
         return df
     keys = stream_of(df)
-    by = W.partitionBy(*keys).orderBy("_seq") if keys else W.orderBy("_seq")
+    by = W.partitionBy(*keys).orderBy("_seq")
     which = F.lit(None).cast("int")
     for i, n in reversed(list(enumerate(names))):
         which = F.when(col.rlike(regex.java(TEMPLATES[n][0])), F.lit(i)).otherwise(which)
@@ -135,35 +137,83 @@ def join_template(df: DataFrame, when: Column | None = None, field: str = "log",
     return chained(df2, F.col("_which_").isNotNull(), go_on, F.lit(True) if when is None else when, parse(field), max_event_size).drop("_which_", "_current_")
 
 
+AHEAD = 128 << 10  # bytes that a fragment to come may have
+_HELD = "struct<n:int,held:string,used:int,bytes:bigint,open:boolean,skip:boolean,cut:boolean,out:array<struct<at:int,log:string,cut:boolean>>>"
+
+
+def glued(parts: Column, limit: int, split: int, cuts: bool) -> Column:
+    """The texts that fragments (t, escaped, bytes, full; one line's at most) make: (place of the last fragment, log, cut).
+
+    Once the fragments' bytes and AHEAD exceed ``split``, what there is counts as whole. A fragment with which the text as a JSON
+    string would reach ``limit`` is cut (by bytes) or dooms its line; those after it, but for a last one, are skipped."""
+
+    def step(a: Column, x: Column) -> Column:
+        size = a["bytes"] + x["bytes"]
+        ends = x["full"] | (size + AHEAD > split)
+        after = a["used"] + x["escaped"] + 3  # with the quotes of the text and of the fragment
+        fits = F.lit(True) if limit <= 0 else after < limit
+        left = F.encode(x["t"], "utf-8").substr(F.lit(1), F.greatest(F.octet_length(x["t"]) - (after - limit), F.lit(0))).cast("string")
+        held = F.when(fits, F.concat(a["held"], x["t"])).when(~a["skip"] & F.lit(cuts), F.concat(a["held"], left)).otherwise(a["held"])
+        used = F.when(fits, a["used"] + x["escaped"]).when(~a["skip"] & F.lit(cuts), F.lit(max(limit - 3, 0))).otherwise(a["used"])
+        goes_on = F.struct(a["n"] + 1, held, used, size, F.lit(True), a["skip"] | ~fits, a["cut"] | (~fits & F.lit(cuts)), a["out"])
+        skipped = F.struct(a["n"] + 1, a["held"], a["used"], size, F.lit(True), a["skip"], a["cut"], a["out"])
+        tail = F.when(~a["cut"], x["t"]).otherwise(F.when(x["full"], F.lit("\n")).otherwise(F.lit("")))
+        log = F.when(a["held"] == "", x["t"]).otherwise(F.concat(a["held"], tail))
+        out = F.when(a["skip"] & ~a["cut"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["n"].alias("at"), log.alias("log"), (a["cut"] & (a["held"] != "")).alias("cut")))))
+        whole = F.struct(a["n"] + 1, F.lit(""), F.lit(0), F.lit(0).cast("bigint"), F.lit(False), F.lit(False), F.lit(False), out)
+        return F.when(~ends, goes_on.cast(_HELD)).when(a["skip"] & ~x["full"], skipped.cast(_HELD)).otherwise(whole.cast(_HELD))
+
+    def finish(a: Column) -> Column:
+        rest = F.array(F.struct((a["n"] - 1).alias("at"), a["held"].alias("log"), a["cut"].alias("cut")))
+        return F.when(a["open"] & (~a["skip"] | a["cut"]), F.concat(a["out"], rest)).otherwise(a["out"])
+
+    none = F.array().cast("array<struct<at:int,log:string,cut:boolean>>")
+    start = F.struct(F.lit(0), F.lit(""), F.lit(0), F.lit(0).cast("bigint"), F.lit(False), F.lit(False), F.lit(False), none).cast(_HELD)
+    return F.aggregate(parts, start, step, finish)
+
+
 @action("k8s_multiline")
-def k8s_multiline(df: DataFrame, when: Column | None = None, field: str = "log", max_event_size: int = 0, cut_off_field: str = "", pods: DataFrame | None = None, node: str = "") -> DataFrame:
-    """Glues fragments until one ends in a line end, and adds labels of pods (pod, namespace, container_id, labels) and the node."""
+def k8s_multiline(
+    df: DataFrame, when: Column | None = None, field: str = "log", max_event_size: int = 0, cut_off_field: str = "", pods: DataFrame | None = None, node: str = "",
+    split_event_size: int = 1_000_000, cut_off_event_by_limit: bool = False, only_node: bool = False, allowed_pod_labels: list[str] | None = None,
+) -> DataFrame:
+    """Glues fragments until one ends in a line end, and adds the node and labels of pods.
+
+    The last fragment's other fields survive. A line grows to ``split_event_size`` bytes at most, beyond which it is emitted in pieces;
+    beyond ``max_event_size`` it goes, or, with ``cut_off_event_by_limit`` or a ``cut_off_field`` (set to true), is cut. A line that hasn't ended with the
+    rows is kept. ``pods`` has k8s_namespace, k8s_pod and k8s_container_id, and columns k8s_pod_label_*, of which ``allowed_pod_labels``
+    names those wanted. ``only_node`` adds the node and nothing else."""
+    if only_node:
+        out = Document(df)
+        out.set(["k8s_node"], F.lit(node), T.StringType())
+        return out.frame()
     keys = stream_of(df)
-    by = W.partitionBy(*keys).orderBy("_seq") if keys else W.orderBy("_seq")
-    doc = Document(df)
-    col = doc.get(field)
-    full = F.endswith(col, F.lit("\n")) | F.endswith(col, F.lit("\\n"))
-    rows = df.withColumn("__gid", F.coalesce(F.sum(F.coalesce(full, F.lit(True)).cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    parts = F.array_sort(F.collect_list(F.struct("_seq", F.coalesce(col, F.lit("")).alias("t"))))
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col("_seq")).alias("__first")
-    rows = rows.groupBy(*keys, "__gid").agg(first, F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("__all"))
-    out = Document(rows.select(*[F.col("__first")[c].alias(c) for c in df.columns], F.col("__all").alias("_all_")))
-    text, big = F.col("_all_"), F.lit(False)
-    if max_event_size > 0:
-        big = F.octet_length(text) > max_event_size
-        if cut_off_field:
-            out.set([cut_off_field], F.when(big, F.lit(True)), T.BooleanType())
-            text = F.when(big, F.concat(F.substring(F.encode(text, "utf-8"), 1, max_event_size).cast("string"), F.lit("\n"))).otherwise(text)
-    out.set(field, text, T.StringType())
+    by = W.partitionBy(*keys).orderBy("_seq")
+    col = Document(df).get(field)
+    text = F.coalesce(col, F.lit(""))
+    full = F.coalesce(F.endswith(col, F.lit("\n")) | F.endswith(col, F.lit("\\n")), F.lit(True))
+    escaped = F.octet_length(F.to_json(F.struct(text.alias("t")))) - 8
+    bytes_ = F.col("_size") if "_size" in df.columns else F.octet_length(text)
+    rows = df.withColumn("__gid", F.coalesce(F.sum(full.cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    part = F.struct("_seq", text.alias("t"), escaped.alias("escaped"), bytes_.cast("bigint").alias("bytes"), full.alias("full"), row.alias("row"))
+    rows = rows.groupBy(*keys, "__gid").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a["_seq"] < b["_seq"], -1).when(a["_seq"] > b["_seq"], 1).otherwise(0)).alias("__parts"))
+    cuts = cut_off_event_by_limit or bool(cut_off_field)
+    rows = rows.select("__parts", F.explode(glued(F.col("__parts"), max_event_size, split_event_size, cuts)).alias("__piece"))
+    rows = rows.select(F.get("__parts", F.col("__piece.at"))["row"].alias("__row"), "__piece")
+    out = Document(rows.select(*[F.col("__row")[c].alias(c) for c in df.columns], F.col("__piece.log").alias("_all_"), F.col("__piece.cut").alias("_short_")))
+    out.set(field, F.col("_all_"), T.StringType())
+    if cut_off_field and max_event_size > 0:
+        out.set([cut_off_field], F.when(F.col("_short_"), F.lit(True)), T.BooleanType())
     if node:
         out.set(["k8s_node"], F.lit(node), T.StringType())
-    got = out.frame() if max_event_size <= 0 or cut_off_field else out.df.where(~big)
-    if max_event_size > 0 and not cut_off_field:
-        kept = Document(got)
-        kept.set(field, F.col("_all_"), T.StringType())
-        got = kept.frame()
-    got = got.drop("_all_")
-    return got if pods is None else lookup(got, pods, [c for c in ("k8s_namespace", "k8s_pod", "k8s_container_id") if c in pods.columns])
+    got = out.frame().drop("_all_", "_short_")
+    if pods is None:
+        return got
+    on = [c for c in ("k8s_namespace", "k8s_pod", "k8s_container_id") if c in pods.columns]
+    if allowed_pod_labels:
+        pods = pods.select(*on, *[f"k8s_pod_label_{n}" for n in allowed_pod_labels if f"k8s_pod_label_{n}" in pods.columns])
+    return lookup(got, pods, on)
 
 
 def lookup(df: DataFrame, table: DataFrame, on: list[str], limit: int = 64 << 20) -> DataFrame:
@@ -187,7 +237,7 @@ def parse_es(df: DataFrame, when: Column | None = None, fields: list[str] = ("in
         elif there is not None:
             name = F.when(there.isNotNull(), F.lit(f)).otherwise(name)
     keys = stream_of(df)
-    by = W.partitionBy(*keys).orderBy("_seq") if keys else W.orderBy("_seq")
+    by = W.partitionBy(*keys).orderBy("_seq")
     rows = df.withColumn("__kind", name).withColumn("__h", F.col("__kind").isin("index", "create", "update"))
     rows = rows.withColumn("__run", F.sum((~F.col("__h")).cast("int")).over(by))
     run = W.partitionBy(*keys, "__run").orderBy("_seq")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths, substitution, timefmt
 from ..functions.paths import Document, Node
+from .predicates import seconds
 from .registry import action, editor
 
 
@@ -137,9 +138,19 @@ def discard(df: DataFrame, when: Column | None = None) -> DataFrame:
 
 @action("debug")
 def debug(df: DataFrame, when: Column | None = None, interval: str = "0s", first: int = 10, thereafter: int = 0, message: str = "event sample") -> DataFrame:
-    """Passes every row; the number of rows seen is kept as an observed metric named by the message."""
-    seen = F.lit(1) if when is None else F.when(when, 1)
-    return df.observe(message.replace(" ", "_"), F.count(seen).alias("seen"))
+    """Passes every row; how many matched, and how many of them a log would show, are observed metrics named by the message.
+
+    With an interval, of each run or micro-batch the first and then every ``thereafter``-th row (none for 0) is shown."""
+    seen = F.count(F.lit(1) if when is None else F.when(when, 1))
+    return df.observe(message.replace(" ", "_"), seen.alias("seen"), shown(seen, interval, first, thereafter).alias("shown"))
+
+
+def shown(seen: Column, interval: str, first: int, thereafter: int) -> Column:
+    """How many of so many rows a log with these settings shows."""
+    if seconds(interval) <= 0:
+        return seen
+    later = F.floor(F.greatest(seen - first, F.lit(0)) / thereafter) if thereafter > 0 else F.lit(0)
+    return (F.least(seen, F.lit(first)) + later).cast("bigint")
 
 
 @editor("convert_date")

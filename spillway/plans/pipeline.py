@@ -112,15 +112,19 @@ class Pipeline:
 
     def source(self, spark: SparkSession, streaming: bool = False) -> DataFrame:
         raw = sources.read(spark, self.input, streaming)
-        name = self.settings.get("decoder", "json")
+        name, params = self.settings.get("decoder", "auto"), self.settings.get("decoder_params")
+        if name == "auto":
+            name, suggested = sources.suggested(self.input)
+            params = {**suggested, **(params or {})}
         df = ingest(raw, self.settings)
-        df = decoded(df, name, "value", self.settings.get("decoder_params"), bool(self.settings.get("is_strict")))
+        df = decoded(df, name, "value", params, bool(self.settings.get("is_strict")))
         if self.settings.get("cut_off_event_by_limit_field") and "_cut" in df.columns:
             df = df.withColumn(self.settings["cut_off_event_by_limit_field"], F.when(F.col("_cut"), F.lit(True))).drop("_cut")
-        return with_meta(df, self.input.get("meta") or {})
+        return with_meta(df, {**sources.built_in_meta(self.input), **(self.input.get("meta") or {})})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for spec in self.actions:
+        """The source's own operators, then the pipeline's."""
+        for spec in [*sources.additional(df.sparkSession, self.input, self.settings), *self.actions]:
             df = apply(df, spec)
         return df
 
@@ -134,7 +138,7 @@ class Pipeline:
         from ..streaming import STATEFUL, apply_streaming
 
         df = self.source(spark, streaming=True)
-        for spec in self.actions:
+        for spec in [*sources.additional(spark, self.input, self.settings), *self.actions]:
             df = apply_streaming(df, spec)
         writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sinks.batch_writer(self.output))
         timed = any(a.get("type") in STATEFUL for a in self.actions)
@@ -145,8 +149,8 @@ def play(spark: SparkSession, actions: list[dict], events: list[dict | str], sch
     """Runs operators over a few events and returns what comes out, in order: for trying things and for tests."""
     texts = [e if isinstance(e, str) else json.dumps(e) for e in events]
     kind = schema or spark.range(1).select(F.schema_of_json(F.lit(json.dumps(_shape([json.loads(t) for t in texts]))))).first()[0]
-    seq = spark.createDataFrame([(i, t, len(t.encode())) for i, t in enumerate(texts)], "_seq bigint, value string, _size int")
-    docs = seq.select("_seq", "_size", F.from_json("value", kind).alias("d")).select("_seq", "_size", "d.*")
+    seq = spark.createDataFrame([(0, i, t, len(t.encode())) for i, t in enumerate(texts)], "_source_id bigint, _seq bigint, value string, _size int")
+    docs = seq.select("_source_id", "_seq", "_size", F.from_json("value", kind).alias("d")).select("_source_id", "_seq", "_size", "d.*")
     for spec in actions:
         docs = apply(docs, spec)
     order = [c for c in ("_seq", "_child") if c in docs.columns]

@@ -344,7 +344,7 @@ def join_template_go_panic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH f AS (SELECT user_id AS src, event_id AS seq, props || CASE WHEN event_type IN ('error', 'view') THEN chr(10) ELSE '' END AS log, event_type IN ('error', 'view') AS whole FROM events),
 g AS (SELECT *, coalesce(sum(whole::INT) OVER (PARTITION BY src ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gid FROM f)
-SELECT min(seq) AS event_id, string_agg(log, '' ORDER BY seq) AS log, 'n1' AS k8s_node FROM g GROUP BY src, gid
+SELECT max(seq) AS event_id, string_agg(log, '' ORDER BY seq) AS log, 'n1' AS k8s_node FROM g GROUP BY src, gid
 """)
 def k8s_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select(F.col("user_id").alias("_source_id"), F.col("event_id").alias("_seq"), "event_id", F.concat("props", F.when(F.col("event_type").isin("error", "view"), "\n").otherwise("")).alias("log"))

@@ -94,13 +94,42 @@ def glob_regex(pattern: str) -> str:
 
 @source("k8s")
 def k8s(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
-    """Container logs: pod, namespace, container and its id come from names pod_namespace_container-id.log."""
+    """Container logs: pod, namespace, container and its id come from names pod_namespace_container-id.log.
+
+    ``cri_type`` (docker, or another, whose lines are CRI) says how lines are decoded; see ``additional`` for what follows."""
     df = file(spark, {"paths": {"include": [spec.get("watching_dir", "/var/log/containers")]}, "filename_pattern": "*.log", **spec.get("file_config", {})}, streaming)
     name = F.regexp_extract("_source_name", r"([^/]+)$", 1)
     pattern = r"^([^_]+)_([^_]+)_(.+)-([0-9a-f]{64})\.log$"
     return df.withColumns({f"_{k}": F.regexp_extract(name, pattern, i) for i, k in enumerate(("k8s_pod", "k8s_namespace", "k8s_container", "k8s_container_id"), 1)})
 
 
+def suggested(spec: dict) -> tuple[str, dict]:
+    """The decoder (and its settings) that ``auto`` means for a source: a container runtime's own, else json."""
+    if spec.get("type") != "k8s":
+        return "json", {}
+    return ("json", {"schema": "log string, stream string, time string"}) if spec.get("cri_type", "docker") == "docker" else ("cri", {})
+
+
+def built_in_meta(spec: dict) -> dict[str, str]:
+    """Metadata that a source adds to every event."""
+    if spec.get("type") != "k8s" or spec.get("only_node"):
+        return {}
+    return {n: f"{{{{ .{n} }}}}" for n in ("k8s_pod", "k8s_namespace", "k8s_container", "k8s_container_id")}
+
+
+def additional(spark: SparkSession, spec: dict, settings: dict) -> list[dict]:
+    """Operators that come with a source. Container logs: fragments are glued, and labels come from a table of pods (a path, or a DataFrame)."""
+    if spec.get("type") != "k8s":
+        return []
+    from ..plans.config import size
+
+    own = {k: spec[k] for k in ("node", "only_node", "split_event_size", "allowed_pod_labels") if k in spec}
+    own |= {"max_event_size": size(settings.get("max_event_size", 0)), "cut_off_event_by_limit": bool(settings.get("cut_off_event_by_limit")), "cut_off_field": settings.get("cut_off_event_by_limit_field", "")}
+    if "pods" in spec:
+        own["pods"] = spec["pods"] if isinstance(spec["pods"], DataFrame) else spark.read.parquet(spec["pods"])
+    return [{"type": "k8s_multiline", **own}]
+
+
 @source("kafka")
 def kafka(spark: SparkSession, spec: dict, streaming: bool) -> DataFrame:
     """Topics by the Kafka connector (its jar must be on the classpath). No order is promised across partitions."""
