@@ -8,9 +8,9 @@ any matching URL must hold as a whole token: it has a sign other than ``*`` on b
 
 Every rule is indexed by the one of its literal tokens that the fewest URLs hold,
 counted over all URLs. A URL's tokens fetch candidate rules, and only these run their
-regular expression, each in the JVM. Rules without a literal token run on every
-URL. The rules' index is broadcast while it has at most FEW rows; above that the
-join shuffles.
+regular expression, each in the JVM. Rules without a literal token (few, as any URL may match them) run on every
+URL, as constant expressions of its projection. The rules' index is broadcast while it has at most FEW rows; above that the
+join shuffles. A URL is handled whole, however long it is.
 
 Defined cases. A null URL matches nothing; an empty one only rules without
 literals. Upper and lower case count alike. Repeated rows each give their matches; a rule
@@ -71,9 +71,13 @@ def matches(pages: DataFrame, rules: list[tuple[int, str, str]] = RULES, key: st
     ranked = tokens.join(counts, "token", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best"))
     index = ranked.select("rule_id", F.col("best.token").alias("token")).join(table, "rule_id")
     fetched = urls.select("*", token).join(small(index), "token")
-    rest = urls.crossJoin(small(table.join(tokens, "rule_id", "left_anti")))
     columns = [key, "url", "rule_id", "category"]
-    return fetched.where(F.expr("rlike(lower(url), regex)")).select(*columns).unionByName(rest.where(F.expr("rlike(lower(url), regex)")).select(*columns))
+    out = fetched.where(F.expr("rlike(lower(url), regex)")).select(*columns)
+    every = [F.when(F.lower("url").rlike(regex(p)), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"))) for i, c, p in rules if not literals(p)]
+    if not every:
+        return out
+    rest = urls.withColumn("__rule", F.explode(F.array_compact(F.array(*every))))
+    return out.unionByName(rest.select(key, "url", "__rule.rule_id", "__rule.category"))
 
 
 def keep(pages: DataFrame, categories: list[str], rules: list[tuple[int, str, str]] = RULES) -> DataFrame:
@@ -82,10 +86,13 @@ def keep(pages: DataFrame, categories: list[str], rules: list[tuple[int, str, st
     return pages.join(bad, pages["url"] == bad["__url"], "left_anti")
 
 
-_VALUES = ", ".join(f"({i}, '{c}', '{regex(p)}')" for i, c, p in RULES)
+_VALUES = ", ".join(f"({i}, '{c}', '{p}')" for i, c, p in RULES)
+# reads the patterns by itself, without ``regex``
 ORACLE = f"""
-SELECT p.page_id, p.url, r.rule_id, r.category
-FROM pages p JOIN (VALUES {_VALUES}) AS r(rule_id, category, regex) ON regexp_matches(lower(p.url), r.regex)
+WITH r AS (SELECT *, regexp_extract(pattern, '^([|]{{0,2}})(.*?)([|]?)$', ['head', 'body', 'tail']) AS part FROM (VALUES {_VALUES}) AS r(rule_id, category, pattern)),
+x AS (SELECT rule_id, category, CASE part.head WHEN '||' THEN '^[a-z][a-z0-9+.-]*://([^/?#]*[.])?' WHEN '|' THEN '^' ELSE '' END
+  || replace(replace(regexp_replace(part.body, '([^a-z0-9])', '[\\1]', 'g'), '[*]', '(?s:.*)'), '[^]', '([^a-z0-9_.%-]|$)') || CASE part.tail WHEN '|' THEN '$' ELSE '' END AS regex FROM r)
+SELECT p.page_id, p.url, x.rule_id, x.category FROM pages p JOIN x ON regexp_matches(lower(p.url), x.regex)
 """
 
 
