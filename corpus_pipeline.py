@@ -51,7 +51,7 @@ STAGES = [
     ("source_mixing", mix),
 ]
 
-ORACLE_SQL = None  # SQL can't express the models; tests/llm/test_pipeline.py holds run() against a brute-force version
+ORACLE_SQL = None  # SQL can't express the models; tests/llm/test_pipeline_rows.py holds run() against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
