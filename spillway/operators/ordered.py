@@ -201,9 +201,15 @@ def k8s_multiline(
     cuts = cut_off_event_by_limit or bool(cut_off_field)
     rows = rows.select("__parts", F.explode(glued(F.col("__parts"), max_event_size, split_event_size, cuts)).alias("__piece"))
     rows = rows.select(F.get("__parts", F.col("__piece.at"))["row"].alias("__row"), "__piece")
-    out = Document(rows.select(*[F.col("__row")[c].alias(c) for c in df.columns], F.col("__piece.log").alias("_all_"), F.col("__piece.cut").alias("_short_")))
+    rows = rows.select(*[F.col("__row")[c].alias(c) for c in df.columns], F.col("__piece.log").alias("_all_"), F.col("__piece.cut").alias("_short_"))
+    return labelled(rows, field, cut_off_field if max_event_size > 0 else "", node, pods, allowed_pod_labels)
+
+
+def labelled(rows: DataFrame, field: str, cut_off_field: str, node: str, pods: DataFrame | None, allowed: list[str] | None) -> DataFrame:
+    """Glued rows with their text (_all_), whether it was cut (_short_), the node and the labels of their pods."""
+    out = Document(rows)
     out.set(field, F.col("_all_"), T.StringType())
-    if cut_off_field and max_event_size > 0:
+    if cut_off_field:
         out.set([cut_off_field], F.when(F.col("_short_"), F.lit(True)), T.BooleanType())
     if node:
         out.set(["k8s_node"], F.lit(node), T.StringType())
@@ -211,8 +217,8 @@ def k8s_multiline(
     if pods is None:
         return got
     on = [c for c in ("k8s_namespace", "k8s_pod", "k8s_container_id") if c in pods.columns]
-    if allowed_pod_labels:
-        pods = pods.select(*on, *[f"k8s_pod_label_{n}" for n in allowed_pod_labels if f"k8s_pod_label_{n}" in pods.columns])
+    if allowed:
+        pods = pods.select(*on, *[f"k8s_pod_label_{n}" for n in allowed if f"k8s_pod_label_{n}" in pods.columns])
     return lookup(got, pods, on)
 
 

@@ -138,10 +138,11 @@ class Pipeline:
         from ..streaming import STATEFUL, apply_streaming
 
         df = self.source(spark, streaming=True)
-        for spec in [*sources.additional(spark, self.input, self.settings), *self.actions]:
+        specs = [*sources.additional(spark, self.input, self.settings), *self.actions]
+        for spec in specs:
             df = apply_streaming(df, spec)
         writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sinks.batch_writer(self.output))
-        timed = any(a.get("type") in STATEFUL for a in self.actions)
+        timed = any(a.get("type") in STATEFUL for a in specs)
         return writer.trigger(**(trigger or ({"processingTime": "1 second"} if timed else {"availableNow": True}))).start()
 
 

@@ -1,7 +1,7 @@
 """Operators over streams: stateless ones as they are, ordered and limiting ones by keyed state.
 
 State machines are plain classes over a key's events in order (``Joiner``, ``Limiter``,
-``Cardinality`` and the batch module's ``Antispam``), run by ``transformWithStateInPandas``.
+``Gluer``, ``Cardinality`` and the batch module's ``Antispam``), run by ``transformWithStateInPandas``.
 Their timers are in processing time: a joined event that nothing follows is emitted after event_timeout.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import regex
 from ..functions.paths import Document
 from ..operators.limits import Antispam, Shares, antispam_threshold, bucket_of
-from ..operators.ordered import TEMPLATES
+from ..operators.ordered import AHEAD, TEMPLATES, labelled
 from ..operators.predicates import seconds
 
 STATE = "value string"
-STATEFUL = ("join", "join_template", "throttle", "cardinality", "antispam")
+STATEFUL = ("join", "join_template", "k8s_multiline", "throttle", "cardinality", "antispam")
 
 
 class Joiner:
@@ -62,6 +62,52 @@ class Joiner:
         return out
 
 
+class Gluer:
+    """Glues the fragments of a line as ``k8s_multiline`` does; what is held is plain values, kept as they are."""
+
+    START = {"held": "", "bytes": 0, "skip": False, "cut": False, "row": None}
+
+    def __init__(self, limit: int = 0, split: int = 1_000_000, cuts: bool = False, kept: dict | None = None):
+        self.limit, self.split, self.cuts = limit, split, cuts
+        self.now = {**self.START, **(kept or {})}
+
+    def push(self, text: str | None, row: str, size: int) -> list[tuple[str, str, bool]]:
+        """(row, text, cut) that are whole with this fragment."""
+        now, t = self.now, text or ""
+        full = text is None or t.endswith(("\n", "\\n"))
+        now["bytes"] += size
+        if not full and now["bytes"] + AHEAD <= self.split:
+            over = _escaped(now["held"]) + _escaped(t) + 3 - self.limit
+            if not self.limit or over < 0:
+                now["held"] += t
+            elif not now["skip"]:
+                now["skip"] = True
+                if self.cuts:
+                    raw = t.encode()
+                    now["held"], now["cut"] = now["held"] + raw[: max(len(raw) - over, 0)].decode("utf-8", "replace"), True
+            now["row"] = row
+            return []
+        if now["skip"] and not full:
+            now["row"] = row
+            return []
+        held, cut, gone = now["held"], now["cut"], now["skip"] and not now["cut"]
+        self.now = dict(self.START)
+        if gone:
+            return []
+        if not held:
+            return [(row, t, False)]
+        return [(row, held + (("\n" if full else "") if cut else t), cut)]
+
+    def flush(self) -> list[tuple[str, str, bool]]:
+        """What is held of a line that doesn't go on."""
+        now, self.now = self.now, dict(self.START)
+        return [(now["row"], now["held"], now["cut"])] if now["row"] is not None and (now["cut"] or not now["skip"]) else []
+
+
+def _escaped(text: str) -> int:
+    return len(json.dumps(text, ensure_ascii=False).encode()) - 2
+
+
 class Limiter:
     """Sums of the newest buckets of a key; a time outside them counts for the newest."""
 
@@ -145,6 +191,33 @@ class JoinProcessor(_Keyed):
         yield self.rows(out, key)
 
 
+class GlueProcessor(_Keyed):
+    def machine(self) -> Gluer:
+        s = self.spec
+        return Gluer(s["limit"], s["split"], s["cuts"], self.load())
+
+    def rows(self, out: list[tuple[str, str, bool]], key) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *x) for x in out], columns=[*self.spec["keys"], "row", "txt", "cut"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        m, out = self.machine(), []
+        for pdf in rows:
+            for t, r, n in pdf.sort_values("seq")[["txt", "row", "size"]].itertuples(index=False):
+                out += m.push(t, r, int(n))
+        self.save(m.now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if m.now["row"] is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.spec["timeout"] * 1000))
+        yield self.rows(out, key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        m = self.machine()
+        out = m.flush()
+        self.save(m.now)
+        yield self.rows(out, key)
+
+
 class FilterProcessor(_Keyed):
     """Rows and whether a machine lets them pass: throttle, cardinality or antispam. The machine is loaded and saved once for a batch of a key."""
 
@@ -247,6 +320,16 @@ def apply_streaming(df: DataFrame, spec: dict) -> DataFrame:
         back = Document(out.select(F.from_json("row", df.schema).alias("d"), F.col("txt").alias("__txt")).select("d.*", "__txt"))
         back.set(field, F.col("__txt"))
         return back.frame().drop("__txt")
+    if kind == "k8s_multiline" and not spec.get("only_node"):
+        field, keys, limit, mark = spec.get("field", "log"), _keys(df), int(spec.get("max_event_size", 0)), spec.get("cut_off_field", "")
+        text = doc.get(field)
+        rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col("_seq").alias("seq"), _packed(df).alias("row"), text.alias("txt"), (F.col("_size") if "_size" in df.columns else F.coalesce(F.octet_length(text), F.lit(0))).cast("bigint").alias("size"))
+        own = {"limit": limit, "split": int(spec.get("split_event_size", 1_000_000)), "cuts": bool(spec.get("cut_off_event_by_limit") or mark), "timeout": seconds(spec.get("event_timeout", "30s")), "keys": keys}
+        out = rows.groupBy(*keys).transformWithStateInPandas(GlueProcessor(own), ", ".join(f"{k} string" for k in keys) + ", row string, txt string, cut boolean", "append", "ProcessingTime")
+        back = out.select(F.from_json("row", df.schema).alias("d"), F.col("txt").alias("_all_"), F.col("cut").alias("_short_")).select("d.*", "_all_", "_short_")
+        return labelled(back, field, mark if limit > 0 else "", spec.get("node", ""), spec.get("pods"), spec.get("allowed_pod_labels"))
+    if kind == "k8s_multiline":
+        return apply(df, spec)
     zero, none = F.lit(0), F.lit(None)
     if kind == "throttle":
         key, lim, size = F.lit("default") if not spec.get("throttle_field") else doc.text(spec["throttle_field"]), F.lit(int(spec.get("default_limit", 5000))), F.lit(spec.get("limit_kind", "count"))

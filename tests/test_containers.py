@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spillway.operators import ACTIONS, project
 from spillway.operators.ordered import AHEAD
 from spillway.plans.pipeline import Pipeline, apply, play
+from spillway.streaming import Gluer
 
 
 def machine(fragments, limit=0, split=1_000_000, cuts=False):
@@ -53,6 +54,17 @@ def test_fragments_against_a_buffer(spark, spec):
         assert mine == sorted(w if "cut_off_field" in spec else w[:2] for w in want)
 
 
+def test_the_streaming_machine_glues_alike():
+    rng = random.Random(8)
+    for limit, split, cuts in [(0, 1_000_000, False), (14, 1_000_000, False), (14, 1_000_000, True), (0, AHEAD + 40, False), (20, AHEAD + 60, True)] * 40:
+        f = [("".join(rng.choice("abcde") for _ in range(rng.randint(0, 9))) + rng.choice(["", "", "\n"]), rng.randint(5, 20)) for _ in range(40)]
+        m, out = Gluer(limit, split, cuts), []
+        for i, (t, n) in enumerate(f):
+            out += m.push(t, i, n)
+            m = Gluer(limit, split, cuts, json.loads(json.dumps(m.now)))
+        assert out + m.flush() == machine(f, limit, split, cuts)
+
+
 def test_last_fragment_names_the_event_and_nulls_are_whole(spark):
     rows = [(0, 0, "a", 1), (0, 1, "b\n", 2), (0, 2, None, 3), (0, 3, "c", 4), (0, 4, "", 5)]
     df = spark.createDataFrame(rows, "_source_id int, _seq bigint, log string, k int")

@@ -3,6 +3,7 @@
 import gzip
 import json
 import threading
+import time
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -140,3 +141,21 @@ def test_streams_follow_antispam_rules(rocks, tmp_path):
     lines = [{"s": "1", "m": m, "t": "2024-01-01T00:00:00Z"} for m in ["vip"] * 5 + ["bad"] * 5 + ["x"] * 10]
     got = run(rocks, tmp_path, [spec], lines, "s string, m string, t string")
     assert Counter(x["m"] for x in got) == {"vip": 5, "x": 2}
+
+
+def test_streams_glue_fragments(rocks, tmp_path):
+    """Timers keep such a query busy, so it is stopped once its rows are there."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.log").write_text("".join(json.dumps({"log": t}) + "\n" for t in ("a", "b\n", "c\n", "d", "e", "f\n")))
+    out, want = tmp_path / "out", [("ab\n", "n1"), ("c\n", "n1"), ("def\n", "n1")]
+    p = Pipeline({"type": "file", "paths": [str(tmp_path / "in")]}, [{"type": "k8s_multiline", "node": "n1"}], {"type": "file", "target_file": str(out), "retry": 0}, {"decoder_params": {"schema": "log string"}})
+    q = p.stream(rocks, str(tmp_path / "cp"))
+    got, end = [], time.time() + 120
+    try:
+        while got != want and time.time() < end and q.isActive:
+            time.sleep(1)
+            if list(out.glob("*.txt")):
+                got = sorted((x["log"], x["k8s_node"]) for x in (json.loads(r[0]) for r in rocks.read.text(str(out)).collect()))
+    finally:
+        q.stop()
+    assert got == want
