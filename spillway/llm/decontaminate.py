@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _WORD, chunks, mix, powers, read, text_buffer
+from .common import _BYTE, _WORD, chunks, mapped, mix, powers, read, text_buffer
 
 Q = 12
 RATE = 0.06
@@ -209,7 +209,7 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                         ["doc_id", "item_id", "start", "edits"],
                     )
 
-        part = some.mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, start bigint, edits int")
+        part = mapped(some, run, f"doc_id {id_type}, item_id {item_type}, start bigint, edits int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -227,7 +227,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
                     clean[[r for r, _, _, _ in shared.value.matches(part.column("text"))]] = False
                     yield part.filter(pa.array(clean))
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = mapped(rows, run, rows.schema)
     return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, pair, read, unit, words, written
+from .common import chunks, mapped, mix, pair, read, unit, words, written
 from .exchange import SENT, batch, pack, unpack
 
 BUCKETS = 1 << 20  # half for words and signs, half for pairs
@@ -172,7 +172,7 @@ def count(docs: DataFrame, good: np.ndarray) -> Counts:
             yield batch([(which, 0, 0, pack(*sums))])
 
     some = docs.select(key("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    rows = some.mapInArrow(run, SENT).repartitionById(SLICES, "part").mapInArrow(add, SENT).select("part", "payload").collect()  # SLICES rows of a fixed size
+    rows = mapped(mapped(some, run, SENT).repartitionById(SLICES, "part"), add, SENT).select("part", "payload").collect()  # SLICES rows of a fixed size
     out = [np.zeros(n) for n in SIZES]
     for r in rows:
         for x, c, got in zip(out, cuts, unpack(r["payload"])):
@@ -193,7 +193,7 @@ def weighed(docs: DataFrame, counts: Counts, good: np.ndarray) -> DataFrame:
                 total = shared.value[0].weights(*buckets(part.column("text"), part.column("lang")), own)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def noise(seed: str = SEED):
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int | None, most: int, seed: str)
                     hit = among(doc, at)
                     yield pa.RecordBatch.from_arrays([b.column("weight").filter(pa.array(hit)), pa.array(want[np.searchsorted(at, doc[hit])])], ["weight", "good"])
 
-        sample = rows.select("id", "weight").mapInArrow(labelled, "weight double, good boolean").toArrow()
+        sample = mapped(rows.select("id", "weight"), labelled, "weight double, good boolean").toArrow()
         limit = best_threshold(np.asarray(sample.column("weight"), dtype=float), np.asarray(sample.column("good")).astype(bool)) if sample.num_rows else -np.inf
         k = rows.where(F.col("weight") >= F.lit(limit)).count()
     return rows, model, kth_largest(rows, "key", k)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, grams, mix, read, words, written
+from .common import chunks, discard, grams, mapped, mix, read, words, written
 from .exchange import KEY_BITS, SENT, addressed, answered, batch, gaps, pack, runs, streamed, ungap, unpack
 
 N = 3
@@ -89,7 +89,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 h, size = identity(*sets(part.column("text"), n), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h.view(np.int64), mask=size == 0), pa.array(size.astype(np.int32))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def sent(docs: DataFrame, n: int, parts: int, unit: int) -> DataFrame:
@@ -129,7 +129,7 @@ def sent(docs: DataFrame, n: int, parts: int, unit: int) -> DataFrame:
         if held:
             yield from flush(number, held)
 
-    return docs.select("text").mapInArrow(run, SENT)
+    return mapped(docs.select("text"), run, SENT)
 
 
 def counted(table: pa.Table) -> list[tuple]:
@@ -373,7 +373,7 @@ def classed(docs: DataFrame, n: int, threshold: float, **sizes) -> tuple[DataFra
                 found = roots(t, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["set", "root", "links"])
 
-    links = written(rows.mapInArrow(run, "set long, root long, links long"), "links")
+    links = written(mapped(rows, run, "set long, root long, links long"), "links")
     group = components(links.where("set <> root").select(F.least("set", "root").alias("a"), F.greatest("set", "root").alias("b")), "classes").select(F.col("id").alias("set"), "root")
     one = all_sets.where("__set is not null").distinct().groupBy(F.col("__set").alias("set")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     sums = links.groupBy("set").agg(F.sum("links").alias("links"))
@@ -403,7 +403,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, **sizes) ->
 
     least = all_sets.where("__set is not null").groupBy("__set").agg(F.min("doc_id").alias("least"))
     a, b = (least.select(F.col("__set").alias(x), F.col("least").alias(f"doc_id_{x}")) for x in "ab")
-    out = rows.mapInArrow(run, "a long, b long, jaccard double").join(a, "a").join(b, "b")
+    out = mapped(rows, run, "a long, b long, jaccard double").join(a, "a").join(b, "b")
     return out.select(F.least("doc_id_a", "doc_id_b").alias("doc_id_a"), F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b"), "jaccard")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, read, text_buffer, written
+from .common import chunks, mapped, read, text_buffer, written
 
 BLOCK = 2048
 SEED = "mixing-1"
@@ -70,7 +70,7 @@ def counted(docs: DataFrame) -> DataFrame:
             for part in chunks(batch, limit=8 << 20):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens(part.column("text")))], [*part.schema.names, "__tokens"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def running(rows: DataFrame, key: str, part: str, order: list, amount, out: str) -> DataFrame:
