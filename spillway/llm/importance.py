@@ -18,7 +18,8 @@ reaches the threshold that best parts the labelled rows that the target model ha
 share of others dropped less COST times the share of target dropped).
 
 The labels of at most MAX_LABELS documents (those of least hash of doc_id) fit the target model and the
-threshold. Everything else covers all documents. What is broadcast has a fixed size (BUCKETS counts and LANGS languages, and the labels' ids).
+threshold. Everything else covers all documents. What is broadcast has a fixed size (BUCKETS counts and LANGS languages, and the labels' ids);
+it is broadcast once for all passes, and counts take as few bytes as they can.
 
 Defined cases. A null or empty text has log weight 0, and so has a text in a language without target rows; a null language is the language "".
 Without any labelled target row all documents are kept. Equal keys (repeated rows) are kept or dropped
@@ -34,10 +35,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mapped, mix, pair, read, unit, words, written
+from .common import chunks, mapped, mix, pair, read, release, unit, words, written
 from .exchange import SENT, batch, pack, unpack
 
 BUCKETS = 1 << 20  # half for words and signs, half for pairs
@@ -104,7 +106,9 @@ def among(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Counts:
-    """Of each bucket: occurrences in the target and in all text, documents that have it in both; likewise by language slot."""
+    """Of each bucket: occurrences in the target and in all text, documents that have it in both; likewise by language slot.
+
+    Whole numbers of any type; only what is looked up is made floats."""
 
     target: np.ndarray
     raw: np.ndarray
@@ -119,13 +123,13 @@ class Counts:
         """Log weights of documents by their n-grams; ``own`` marks documents of the target."""
         n, half = len(lang), BUCKETS // 2
         with np.errstate(divide="ignore", invalid="ignore"):
-            share = (self.lang_target / self.lang_raw)[lang][rows]
-            docs = (self.lang_target_docs / self.lang_raw_docs)[lang][rows]
+            share = (self.lang_target.astype(float) / self.lang_raw)[lang][rows]
+            docs = (self.lang_target_docs.astype(float) / self.lang_raw_docs)[lang][rows]
         known = share > 0
         rows, of, count, share, docs = rows[known], of[known], count[known], share[known], docs[known]
         mine = own[rows]
-        ratio = np.log((self.target[of] - count * mine + PRIOR * share) / ((self.raw[of] - count) * share + PRIOR * share))
-        inside, all_ = self.target_docs[of] - mine, self.raw_docs[of] - 1
+        ratio = np.log((self.target[of].astype(float) - count * mine + PRIOR * share) / ((self.raw[of].astype(float) - count) * share + PRIOR * share))
+        inside, all_ = self.target_docs[of].astype(float) - mine, self.raw_docs[of].astype(float) - 1
         gain = likelihood(inside, all_, np.clip(docs, 1e-9, 1 - 1e-9))
         odds = np.array([np.log(max((self.raw_docs[:half] > 0).sum() / INFORMATIVE, 1.0)), np.log(max((self.raw_docs[half:] > 0).sum() / INFORMATIVE, 1.0))])
         p = 1 / (1 + np.exp(np.minimum(odds[(of >= half).astype(int)] - gain, 700)))
@@ -142,9 +146,15 @@ def likelihood(a: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
 SIZES = [BUCKETS] * 4 + [LANGS] * 4
 
 
-def count(docs: DataFrame, good: np.ndarray) -> Counts:
-    """The counts of all documents, added up by slices of the buckets; a task sends a few megabytes, whatever it read."""
-    shared = docs.sparkSession.sparkContext.broadcast(good)
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same counts in 32 bits if they fit, which ``pack`` makes fewer still."""
+    return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
+
+
+def count(docs: DataFrame, good: Broadcast) -> Counts:
+    """The counts of all documents, added up by slices of the buckets; a task sends a few megabytes, whatever it read.
+
+    A slice's row has at most some 260 KB while counts fit 32 bits, so none takes a region of the driver's heap by itself."""
     cuts = [np.linspace(0, n, SLICES + 1).astype(int) for n in SIZES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +162,7 @@ def count(docs: DataFrame, good: np.ndarray) -> Counts:
         for b in batches:
             for part in chunks(b):
                 rows, of, n, lang = buckets(part.column("text"), part.column("lang"))
-                mine = among(np.asarray(part.column("id").fill_null(NO_ID), dtype=np.int64), shared.value)
+                mine = among(np.asarray(part.column("id").fill_null(NO_ID), dtype=np.int64), good.value)
                 size = np.bincount(rows, n, len(lang)).astype(np.int64)
                 at = mine[rows]
                 for i, (where, amount, most) in enumerate(((of[at], n[at], BUCKETS), (of, n, BUCKETS), (of[at], None, BUCKETS), (of, None, BUCKETS), (lang[mine], size[mine], LANGS), (lang, size, LANGS), (lang[mine], None, LANGS), (lang, None, LANGS))):
@@ -160,7 +170,7 @@ def count(docs: DataFrame, good: np.ndarray) -> Counts:
         if sums[7].any():
             for i in range(SLICES):
                 parts = [x[c[i] : c[i + 1]] for x, c in zip(sums, cuts)]
-                yield batch([(i, 0, 0, pack(*(x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x for x in parts)))])
+                yield batch([(i, 0, 0, pack(*map(narrow, parts)))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, which = None, 0
@@ -169,28 +179,24 @@ def count(docs: DataFrame, good: np.ndarray) -> Counts:
                 got = [x.astype(np.int64) for x in unpack(payload.as_buffer())]
                 sums = got if sums is None else [x + y for x, y in zip(sums, got)]
         if sums is not None:
-            yield batch([(which, 0, 0, pack(*sums))])
+            yield batch([(which, 0, 0, pack(*map(narrow, sums)))])
 
     some = docs.select(key("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     rows = mapped(mapped(some, run, SENT).repartitionById(SLICES, "part"), add, SENT).select("part", "payload").collect()  # SLICES rows of a fixed size
-    out = [np.zeros(n) for n in SIZES]
-    for r in rows:
-        for x, c, got in zip(out, cuts, unpack(r["payload"])):
-            x[c[r["part"]] : c[r["part"] + 1]] = got
-    return Counts(*out)
+    got = {r["part"]: unpack(r["payload"]) for r in rows}
+    return Counts(*(np.concatenate([got[i][k] if i in got else np.zeros(c[i + 1] - c[i], np.uint8) for i in range(SLICES)]) for k, c in enumerate(cuts)))
 
 
-def weighed(docs: DataFrame, counts: Counts, good: np.ndarray) -> DataFrame:
+def weighed(docs: DataFrame, counts: Broadcast, good: Broadcast) -> DataFrame:
     """``docs`` (doc_id, lang, text and others) with __weight, the log importance weight."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts, good))
     docs = docs.withColumn("__key", key("doc_id"))
     schema = docs.withColumn("__weight", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in chunks(b):
-                own = among(np.asarray(part.column("__key").fill_null(NO_ID), dtype=np.int64), shared.value[1])
-                total = shared.value[0].weights(*buckets(part.column("text"), part.column("lang")), own)
+                own = among(np.asarray(part.column("__key").fill_null(NO_ID), dtype=np.int64), good.value)
+                total = counts.value.weights(*buckets(part.column("text"), part.column("lang")), own)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total)], schema.names)
 
     return mapped(docs, run, schema)
@@ -236,16 +242,18 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
             return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int | None, most: int, seed: str) -> tuple[DataFrame, tuple[Counts, np.ndarray], float]:
+def fit(docs: DataFrame, labels: DataFrame, k: int | None, most: int, seed: str) -> tuple[DataFrame, tuple[Broadcast, Broadcast], float]:
     """(doc_id, weight, key) of all documents, the model, and the least key that is kept."""
     ids, good = targets(labels, most)
     held = mix(ids.view(np.uint64)) % np.uint64(HELD) == 0
-    target = ids[good & ~held]
-    model = count(docs, target), target
+    context = docs.sparkSession.sparkContext
+    target = context.broadcast(ids[good & ~held])
+    model = context.broadcast(count(docs, target)), target
+    release()
     rows = weighed(docs.select("doc_id", "lang", "text"), *model).select("doc_id", F.col("__key").alias("id"), F.col("__weight").alias("weight"))
     rows = written(rows.withColumn("key", F.col("weight") + noise(seed)), "weights")
     if k is None:
-        known = docs.sparkSession.sparkContext.broadcast((ids[held], good[held]))
+        known = context.broadcast((ids[held], good[held]))
 
         def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

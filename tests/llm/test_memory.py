@@ -1,14 +1,16 @@
 """Python workers beside an executor's heap: small batches in, and nothing kept after a task."""
 
 import os
+import pickle
 import re
 import subprocess
 import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from spillway.llm import common, decontaminate, mixing
+from spillway.llm import common, decontaminate, exchange, importance, mixing
 
 from .conftest import make, prose
 
@@ -80,3 +82,27 @@ def test_a_smaller_setting_stays(spark, big):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
     common.mapped(big, lambda batches: batches, big.schema)
     assert int(re.sub(r"\D", "", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) == 1_000_000
+
+
+def test_classifier_takes_little_of_the_driver(spark, monkeypatch):
+    """Rows that reach the driver lie below half a region of its heap (1 MB), and the model is broadcast once, in 32 bits a count at most."""
+    rows, sent, broadcast = [], [], spark.sparkContext.broadcast
+    monkeypatch.setattr(importance, "unpack", lambda blob: rows.append(len(blob)) or exchange.unpack(blob))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(len(pickle.dumps(x))) or broadcast(x))
+    docs = make(spark, [(i, prose(i, 40)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    assert importance.keep(docs, labels).count() > 0
+    assert len(rows) == importance.SLICES and max(rows) < 1 << 19
+    assert sum(sent) < 16 * (importance.BUCKETS + importance.LANGS) + (1 << 20)
+
+
+def test_counts_of_any_width(spark):
+    """Counts above 8, 16 and 32 bits weigh as floats of the same numbers do."""
+    text, lang = pa.array(["ba ne !! lo", "ne ne su"]), pa.array(["en", "en"])
+    found = importance.buckets(text, lang)
+    for top in (200, 60_000, 1 << 31, 1 << 40):
+        arrays = [np.full(n, top // d + 5) for n, d in zip(importance.SIZES, (2, 1, 2, 1, 4, 1, 4, 1))]
+        small = importance.Counts(*[exchange.unpack(exchange.pack(importance.narrow(x)))[0] for x in arrays])
+        own = np.array([True, False])
+        want = importance.Counts(*[x.astype(float) for x in arrays]).weights(*found, own)
+        assert (small.weights(*found, own) == want).all() and want.any()
