@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import regex
+from ..functions.arrow import small_batches
 from ..functions.paths import Document, Node, build, parse
 from .predicates import do_if, rule_sets
 from .registry import editor
@@ -45,7 +46,8 @@ def masked(text: Column, re2: str, groups: list[int], max_count: int = 0, word:
         pattern = regex.python(re2)
         return s.map(lambda x: mask_text(x, pattern, groups, max_count, word, cut), na_action="ignore")
 
-    return F.when(text.rlike(regex.java(re2)), run(text)).otherwise(text)  # only texts that match leave the JVM
+    # only texts that match leave the JVM: Spark calls a Python function on every row, in a branch too, so the others are null to it
+    return F.coalesce(run(F.when(text.rlike(regex.java(re2)), text)), text)
 
 
 def _listed(path: list[str], listed: list[list[str]]) -> bool:
@@ -77,6 +79,9 @@ def mask(
             total = len(regex.group_names(re2))
             if any(g > total for g in groups) or groups != sorted(set(groups)):
                 raise ValueError("groups must exist and ascend")
+        plain = bool(re2) and 0 in groups and (spec.get("replace_word") or spec.get("cut_values"))
+        if re2 and not plain:
+            small_batches(doc.df)
         only = [parse(p) for p in spec.get("process_fields") or ([] if spec.get("ignore_fields") else process_fields or [])]
         skip = [parse(p) for p in spec.get("ignore_fields") or ([] if spec.get("process_fields") else ignore_fields or [])]
         allowed = do_if(doc, spec["do_if"]) if spec.get("do_if") else None
@@ -110,7 +115,6 @@ def mask(
             if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.NumericType)):
                 return
             if isinstance(kind, T.ArrayType):
-                plain = bool(re2) and 0 in groups and (spec.get("replace_word") or spec.get("cut_values"))
                 if not plain:
                     return _exploded(node, spec, re2, groups)
             new = leaf(node.column, kind)
@@ -149,7 +153,9 @@ def _exploded(node: Node, spec: dict, re2: str, groups: list[int]) -> None:
         return s.map(lambda xs: [None if x is None else mask_text(x, pattern, groups, int(spec.get("max_count", 0)), spec.get("replace_word") or None, bool(spec.get("cut_values"))) for x in xs], na_action="ignore")
 
     if re2:
-        node.column, node.kind = run(node.column.cast("array<string>")), T.ArrayType(T.StringType())
+        texts = node.column.cast("array<string>")
+        hit = F.exists(texts, lambda x: x.rlike(regex.java(re2)))
+        node.column, node.kind = F.coalesce(run(F.when(hit, texts)), texts), T.ArrayType(T.StringType())
 
 
 __all__ = ["mask", "mask_text", "masked", "build"]

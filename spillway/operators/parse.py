@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import regex
+from ..functions.arrow import small_batches
 from ..functions.normalize import Normalizer
 from ..functions.paths import Document, Node, parse
 from .registry import editor
@@ -92,6 +93,7 @@ def json_extract(doc: Document, field: str, extract_fields: list[str] | None = N
     if col is None or not wanted:
         return
     if truncated:
+        small_batches(doc.df)
         values = _from_broken(col, F.array(*[F.lit(w) for w in wanted]))
         found = {w: values[i] for i, w in enumerate(wanted)}
     else:
@@ -169,20 +171,23 @@ def convert_utf8_bytes(doc: Document, fields: list[str], replace_non_graphic: bo
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unescape(x, replace_non_graphic), na_action="ignore")
 
+    def unescaped(col: Column) -> Column:  # null to Python where there is nothing to do, as Spark calls it on every row
+        return run(col) if replace_non_graphic else F.coalesce(run(F.when(F.contains(col, F.lit("\\")), col)), col)
+
+    small_batches(doc.df)
+
     def strings(node: Node) -> None:
         kids = node.open()
         if kids is not None:
             for k, v in node.own().items():
                 strings(v)
         elif isinstance(node.kind, T.StringType):
-            col = node.column
-            node.column = run(col) if replace_non_graphic else F.when(F.contains(col, F.lit("\\")), run(col)).otherwise(col)
+            node.column = unescaped(node.column)
 
     for f in fields:
         if node := doc.find(f):
             if node.open() is None and isinstance(doc.kind(f), T.StringType):
-                col = node.value()
-                doc.set(f, run(col) if replace_non_graphic else F.when(F.contains(col, F.lit("\\")), run(col)).otherwise(col), T.StringType())
+                doc.set(f, unescaped(node.value()), T.StringType())
             elif node.open() is not None:
                 kept = doc.drop(f)
                 strings(kept)
@@ -237,6 +242,7 @@ def hash_(doc: Document, fields: list[dict], result_field: str, normalizer: dict
         if size := f.get("max_size", 0):
             text = F.when(F.octet_length(text) > size, F.substring(F.encode(text, "utf-8"), 1, size).cast("string")).otherwise(text)
         if f.get("format", "no") == "normalize":
+            small_batches(doc.df)
             text = make((normalizer or {}).get("builtin_patterns", "all"), (normalizer or {}).get("custom_patterns"))(text)
         value = xxh64(text) if value is None else F.coalesce(value, xxh64(text))
     if value is not None:
